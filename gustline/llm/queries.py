@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.llm import bpe, chat, decontaminate, exact_dedup, langid, minhash, sharding, toxicity, urls
+from gustline.llm import bpe, chat, decontaminate, exact_dedup, langid, minhash, pii, sharding, toxicity, urls
 from gustline.llm.shared import table
 
 SHARDS = 24
@@ -42,6 +42,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13)
 
@@ -64,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, scorer).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_language_id, op3_exact_dedup, op4_sharding, op5_bpe, op7_decontamination, op8_url_filter, op9_chat_format, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_language_id, op3_exact_dedup, op4_sharding, op5_bpe, op6_pii, op7_decontamination, op8_url_filter, op9_chat_format, op10_toxicity)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
