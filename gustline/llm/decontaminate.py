@@ -60,7 +60,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: st
     if all_rows:
         base = F.array(F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("array<string>").alias("ctx")))
         place = F.concat(base, place)
-    places = rows.withColumn("p", place).select("doc_id", "tkey", "n_words", F.explode("p").alias("p")).select("doc_id", "tkey", "n_words", "p.*")
+    # an outer explode: for a plain one the optimizer infers a filter that would split each text anew for every place
+    places = rows.withColumn("p", place).select("doc_id", "tkey", "n_words", F.explode_outer("p").alias("p")).select("doc_id", "tkey", "n_words", "p.*")
     known = windows.withColumnRenamed("anchor", "a")
     known = F.broadcast(known) if n_windows <= BROADCAST_WINDOWS else known
     found = places.join(known, F.col("anchor") == F.col("a"), "left" if all_rows else "inner")
