@@ -39,8 +39,8 @@ def base(spark: SparkSession, sf: str, by_region: bool = True) -> DataFrame:
     """universe, d, pos, fa, fn, fr, xa, xn, xr, v."""
     w = S.series()
     p = prices(spark, sf, by_region)
-    p = p.select("*", *[F.round(S.log_return(F.col("f" + c), w), 9).alias("x" + c) for c in "anr"])
-    return p.withColumn("v", F.round(F.col("xa") * F.col("xa") + F.col("xn") * F.col("xn") + F.col("xr") * F.col("xr"), 6))
+    p = p.select("*", *[F.round(S.log_return(F.col("f" + c), w), 12).alias("x" + c) for c in "anr"])
+    return p.withColumn("v", F.round(F.col("xa") * F.col("xa") + F.col("xn") * F.col("xn") + F.col("xr") * F.col("xr"), 12))
 
 
 def vectors(b: DataFrame) -> DataFrame:
@@ -59,11 +59,11 @@ def _base_sql(region: bool) -> str:
     u = "r_name" if region else "'all'"
     dims = " join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey" if region else ""
     pick = ", ".join(f"sum(case when l_returnflag = '{c.upper()}' then cents end) / count(case when l_returnflag = '{c.upper()}' then cents end) / 100.0 as f{c}" for c in "anr")
-    ret = ", ".join(f"round(ln(f{c} / lag(f{c}) over w), 9) as x{c}" for c in "anr")
+    ret = ", ".join(f"round(ln(f{c} / lag(f{c}) over w), 12) as x{c}" for c in "anr")
     return f"""px as (select {u} as universe, cast(date_trunc('week', l_shipdate) as date) as d, {pick}
  from (select *, cast(round(l_extendedprice * 100) as bigint) as cents from lineitem){dims} group by 1, 2),
 p as (select *, row_number() over (partition by universe order by d) - 1 as pos from px where fa is not null and fn is not null and fr is not null),
-b as (select *, round(xa * xa + xn * xn + xr * xr, 6) as v from (select *, {ret} from p window w as (partition by universe order by d)) t)"""
+b as (select *, round(xa * xa + xn * xn + xr * xr, 12) as v from (select *, {ret} from p window w as (partition by universe order by d)) t)"""
 
 
 FC = """fc as (select *, case when t is null then null when t >= 0.3 then 1 else 0 end as y from (select universe, d, pos, xa, xn, v,
@@ -240,11 +240,11 @@ add("win02_mean_std", _win(("m", lambda w: W.mean(F.col("v"), W.trailing(21), w)
 add("win03_sum", _win(("t", lambda w: W.total(F.col("xa"), W.Frame(13, 13, 0), w))), f"select universe, d, case when count(xa) {O} {fr(13, 0)} >= 13 then sum(xa) {O} {fr(13, 0)} end as t from b", doubles="t")
 add("win04_high_and_drawdown", _win(("h", lambda w: W.highest(F.col("fa"), W.Frame(26, 10, 1), w)), ("dd", lambda w: W.drawdown_from_high(F.col("fa"), W.Frame(26, 10, 1), w))), f"select universe, d, case when count(fa) {O} {fr(26)} >= 10 then max(fa) {O} {fr(26)} end as h, case when count(fa) {O} {fr(26)} >= 10 then ln(lag(fa) {O}) / max(fa) {O} {fr(26)}) end as dd from b", doubles="h,dd")
 add("win05_correlation", _win(("c", lambda w: W.correlation(F.col("xa"), F.col("xn"), W.Frame(52, 26, 1), w))), f"select universe, d, case when count(xa) {O} {fr(52)} >= 26 then corr(xa, xn) {O} {fr(52)} end as c from b", doubles="c")
-add("win06_quantile", _win(("q", lambda w: W.quantile(F.col("v"), 0.75, W.Frame(104, 26, 1), w))), f"select universe, d, case when count(v) {O} {fr(104)} >= 26 then quantile_cont(v, 0.75) {O} {fr(104)} end as q from b", doubles="q", digits=9)
-add("win07_expanding", _win(("m", lambda w: W.mean(F.col("v"), W.expanding(20), w)), ("s", lambda w: W.std(F.col("v"), W.expanding(20), w))), f"select universe, d, case when count(v) {O} rows between unbounded preceding and 1 preceding) >= 20 then avg(v) {O} rows between unbounded preceding and 1 preceding) end as m, case when count(v) {O} rows between unbounded preceding and 1 preceding) >= 20 then stddev_pop(v) {O} rows between unbounded preceding and 1 preceding) end as s from b", doubles="m,s", digits=9)
+add("win06_quantile", _win(("q", lambda w: W.quantile(F.col("v"), 0.75, W.Frame(104, 26, 1), w))), f"select universe, d, case when count(v) {O} {fr(104)} >= 26 then quantile_cont(v, 0.75) {O} {fr(104)} end as q from b", doubles="q")
+add("win07_expanding", _win(("m", lambda w: W.mean(F.col("v"), W.expanding(20), w)), ("s", lambda w: W.std(F.col("v"), W.expanding(20), w))), f"select universe, d, case when count(v) {O} rows between unbounded preceding and 1 preceding) >= 20 then avg(v) {O} rows between unbounded preceding and 1 preceding) end as m, case when count(v) {O} rows between unbounded preceding and 1 preceding) >= 20 then stddev_pop(v) {O} rows between unbounded preceding and 1 preceding) end as s from b", doubles="m,s")
 add("win08_zscore", _win(("z", lambda w: W.zscore(F.col("v"), W.Frame(52, 13, 1), w))), f"select universe, d, case when count(v) {O} {fr(52)} >= 13 and stddev_pop(v) {O} {fr(52)} > 0 then (lag(v) {O}) - avg(v) {O} {fr(52)}) / stddev_pop(v) {O} {fr(52)} end as z from b", doubles="z")
-add("win09_ewma", _win(("e", lambda w: W.ewma(F.col("v"), 8, w))), f"select a.universe, a.d, case when count(c.v) >= 8 then sum(c.v * power(1 - 2.0 / 9, a.k - c.k)) / sum(power(1 - 2.0 / 9, a.k - c.k)) end as e from k a left join k c on a.universe = c.universe and c.v is not null and c.pos <= a.pos group by 1, 2", doubles="e", ctes=f"k as (select universe, d, pos, v, count(v) {O} rows unbounded preceding) as k from b)", digits=9)
-add("win10_cumulative", _win(("s", lambda w: W.cumulative(F.col("xa"), w)), ("m", lambda w: W.cumulative_max(F.col("fa"), w)), ("g", lambda w: W.cumulative_growth(F.expm1(F.col("xa")), w))), f"select universe, d, sum(xa) {O} rows unbounded preceding) as s, max(fa) {O} rows unbounded preceding) as m, exp(sum(xa) {O} rows unbounded preceding)) as g from b", doubles="s,m,g", digits=9)
+add("win09_ewma", _win(("e", lambda w: W.ewma(F.col("v"), 8, w))), f"select a.universe, a.d, case when count(c.v) >= 8 then sum(c.v * power(1 - 2.0 / 9, a.k - c.k)) / sum(power(1 - 2.0 / 9, a.k - c.k)) end as e from k a left join k c on a.universe = c.universe and c.v is not null and c.pos <= a.pos group by 1, 2", doubles="e", ctes=f"k as (select universe, d, pos, v, count(v) {O} rows unbounded preceding) as k from b)")
+add("win10_cumulative", _win(("s", lambda w: W.cumulative(F.col("xa"), w)), ("m", lambda w: W.cumulative_max(F.col("fa"), w)), ("g", lambda w: W.cumulative_growth(F.expm1(F.col("xa")), w))), f"select universe, d, sum(xa) {O} rows unbounded preceding) as s, max(fa) {O} rows unbounded preceding) as m, exp(sum(xa) {O} rows unbounded preceding)) as g from b", doubles="s,m,g")
 add("win11_forward_fill", _win(("f", lambda w: W.forward_fill(F.when(F.col("v") > 0.3, F.col("v")), w, 5)), ("g", lambda w: W.forward_fill(F.when(F.col("v") > 0.3, F.col("v")), w))), f"select universe, d, last_value(case when v > 0.3 then v end ignore nulls) {O} rows between 5 preceding and current row) as f, last_value(case when v > 0.3 then v end ignore nulls) {O} rows unbounded preceding) as g from b", doubles="f,g")
 add("win12_percentile_rank", on_base(lambda b: b.select("universe", "d", W.percentile_rank(F.col("v"), ["universe"]).alias("r"), W.average_rank(F.col("v"), ["universe"], True).alias("k"))), "select universe, d, case when v is not null then (rank() over (partition by universe, v is null order by v) + (count(*) over (partition by universe, v) - 1) / 2.0) / count(v) over (partition by universe) end as r, case when v is not null then rank() over (partition by universe, v is null order by v desc) + (count(*) over (partition by universe, v) - 1) / 2.0 end as k from b", doubles="r,k")
 add("win13_rolling_percentile_rank", _win(("r", lambda w: W.rolling_percentile_rank(F.col("v"), W.Frame(52, 20, 0), w))), "select a.universe, a.d, case when count(c.v) >= 20 then (count(*) filter (c.v < a.v) + (count(*) filter (c.v = a.v) + 1) / 2.0) / count(c.v) end as r from b a left join b c on a.universe = c.universe and c.pos between a.pos - 51 and a.pos group by a.universe, a.d", doubles="r")
@@ -343,10 +343,10 @@ add("seq03_calibration", on_base(lambda b: eventclock.calibrate(b, "v", 4.0, 0.1
 CUM = f"c as (select universe, d, pos, fa, sum(coalesce(v, 0)) {O} rows unbounded preceding) as cum from b), cr as (select c.*, (select min(e.pos) from c e where e.universe = c.universe and e.cum >= c.cum + 2.0) as cross_pos from c)"
 add("seq04_event_returns", on_base(lambda b: eventclock.event_returns(b, "v", "fa", 2.0)), "select a.universe, a.d, a.cross_pos, ln(e.fa / a.fa) as event_return from cr a join c e on e.universe = a.universe and e.pos = a.cross_pos", ints="cross_pos", doubles="event_return", ctes=CUM)
 add("seq05_event_drawdown", on_base(lambda b: eventclock.event_drawdown(b, "v", "fa", 2.0)), "select a.universe, a.d, case when a.cross_pos is not null then min(ln(e.fa)) - ln(a.fa) end as event_drawdown from cr a left join c e on e.universe = a.universe and e.pos > a.pos and e.pos <= a.cross_pos group by a.universe, a.d, a.cross_pos, a.fa", doubles="event_drawdown", ctes=CUM)
-add("seq06_event_grid", on_base(lambda b: eventclock.on_event_grid(b.filter("v is not null"), "v", 2.0, ["xa"])), "select t.universe, id as event_id, sum(b.xa) as xa, avg(b.v) as mean_intensity, count(*) as n_rows from (select universe, id, d from ev where (universe, id) in (select universe, id from ev where done)) t join b on b.universe = t.universe and b.d = t.d group by 1, 2", keys="universe", ints="event_id,n_rows", doubles="xa,mean_intensity", ctes=EV, recursive=True, digits=9)
+add("seq06_event_grid", on_base(lambda b: eventclock.on_event_grid(b.filter("v is not null"), "v", 2.0, ["xa"])), "select t.universe, id as event_id, sum(b.xa) as xa, avg(b.v) as mean_intensity, count(*) as n_rows from (select universe, id, d from ev where (universe, id) in (select universe, id from ev where done)) t join b on b.universe = t.universe and b.d = t.d group by 1, 2", keys="universe", ints="event_id,n_rows", doubles="xa,mean_intensity", ctes=EV, recursive=True)
 add("seq07_event_features", on_base(lambda b: eventclock.event_features(b.filter("v is not null"), "v", "xa", 2.0, 6)), f"""select ev.universe, ev.d, acc / 2.0 as et_intensity_to_date, n - 1 as et_days_since_start, case when count(*) over h = 6 then sum(done::int) over h end as et_velocity, case when count(*) over g = 5 then avg(s.v) over g / 2.0 end as et_turb_per_day,
  (select sum(r.xa) from s2 r where r.universe = ev.universe and r.i <= ev.i and r.i > (select max(q.i) from s2 q where q.universe = ev.universe and q.i < ev.i + 1 and q.cum0 <= (select z.cum from s2 z where z.universe = ev.universe and z.i = ev.i) - 2.0) - 1) as et_momentum
- from ev join s on s.universe = ev.universe and s.i = ev.i window h as (partition by ev.universe order by ev.d rows between 5 preceding and current row), g as (partition by ev.universe order by ev.d rows between 4 preceding and current row)""", doubles="et_intensity_to_date,et_days_since_start,et_velocity,et_turb_per_day,et_momentum", ctes=EV + ", s2 as (select s.universe, s.i, b.xa, sum(s.v) over (partition by s.universe order by s.i rows unbounded preceding) as cum, sum(s.v) over (partition by s.universe order by s.i rows unbounded preceding) - s.v as cum0 from s join b on b.universe = s.universe and b.d = s.d)", recursive=True, digits=9)
+ from ev join s on s.universe = ev.universe and s.i = ev.i window h as (partition by ev.universe order by ev.d rows between 5 preceding and current row), g as (partition by ev.universe order by ev.d rows between 4 preceding and current row)""", doubles="et_intensity_to_date,et_days_since_start,et_velocity,et_turb_per_day,et_momentum", ctes=EV + ", s2 as (select s.universe, s.i, b.xa, sum(s.v) over (partition by s.universe order by s.i rows unbounded preceding) as cum, sum(s.v) over (partition by s.universe order by s.i rows unbounded preceding) - s.v as cum0 from s join b on b.universe = s.universe and b.d = s.d)", recursive=True)
 add("seq08_episodes", on_base(lambda b: _episodes(b).withColumnsRenamed({"start": "start_d", "end": "end_d"})), "select universe, start_ as start_d, end_ as end_d, n_days, peak_turb, mean_turb from ep", keys="universe,start_d,end_d", ints="n_days", doubles="peak_turb,mean_turb", ctes=EPI)
 RUN = f"hd2 as (select universe, d, case when d - lag(d) {O}) <= 14 then 0 else 1 end as fresh from b where v > 0.3), hg2 as (select *, sum(fresh) {O} rows unbounded preceding) as grp from hd2)"
 add("seq09_calendar_runs", on_base(lambda b: regimes.calendar_runs(b, F.col("v") > 0.3, 14, 2).withColumnsRenamed({"start": "start_d", "end": "end_d"})), "select universe, min(d) as start_d, max(d) as end_d, count(*) as n from hg2 group by universe, grp having count(*) >= 2", keys="universe,start_d,end_d", ints="n", ctes=RUN)
@@ -366,14 +366,14 @@ def _g(n, mp, agg, c):
 
 FT_COLS = "eq_drawdown_63,eq_rates_corr_63,eq_ret_lag1,eq_ret_ma21,eq_ret_ma5,eq_vol_21,rates_ret_ma21,turb_lag5,turb_ma21,turb_std5,turb_zscore_252,vix_log_lag1,vix_ma21"
 add("ft01_feature_matrix", on_base(lambda b: features.feature_matrix(b, "v", "fa", "fn", "fn", "fr")), f"""select universe, d, lag(ln(fa)) {O}) - {_g(63, 20, 'max', 'ln(fa)')} as eq_drawdown_63, case when count(xa) {O} {fr(63)} >= 31 then corr(xa, xn) {O} {fr(63)} end as eq_rates_corr_63, lag(xa) {O}) as eq_ret_lag1, {_g(21, 10, 'sum', 'xa')} as eq_ret_ma21, {_g(5, 3, 'sum', 'xa')} as eq_ret_ma5,
- {_g(21, 10, 'stddev_pop', 'xa')} as eq_vol_21, {_g(21, 10, 'sum', 'xn')} as rates_ret_ma21, lag(v, 5) {O}) as turb_lag5, {_g(21, 10, 'avg', 'v')} as turb_ma21, {_g(5, 2, 'stddev_pop', 'v')} as turb_std5, (lag(v) {O}) - ({_g(252, 63, 'avg', 'v')})) / ({_g(252, 63, 'stddev_pop', 'v')}) as turb_zscore_252, lag(ln(fr)) {O}) as vix_log_lag1, {_g(21, 10, 'avg', 'ln(fr)')} as vix_ma21 from b""", doubles=FT_COLS, digits=9)
+ {_g(21, 10, 'stddev_pop', 'xa')} as eq_vol_21, {_g(21, 10, 'sum', 'xn')} as rates_ret_ma21, lag(v, 5) {O}) as turb_lag5, {_g(21, 10, 'avg', 'v')} as turb_ma21, {_g(5, 2, 'stddev_pop', 'v')} as turb_std5, (lag(v) {O}) - ({_g(252, 63, 'avg', 'v')})) / ({_g(252, 63, 'stddev_pop', 'v')}) as turb_zscore_252, lag(ln(fr)) {O}) as vix_log_lag1, {_g(21, 10, 'avg', 'ln(fr)')} as vix_ma21 from b""", doubles=FT_COLS)
 add("ft02_bucket_features", on_base(lambda b: features.bucket_features(b.withColumn("k", F.pmod("pos", F.lit(5)).cast("int")), "k")), f"select universe, d, lag(pos % 5) {O}) as turbbucket_lag1, case when count(pos) {O} {fr(21, 0)} >= 10 then avg(pos % 5) {O} {fr(21, 0)} end as turbbucket_ma21, (pos % 5 = 2)::int as tb_2 from b", doubles="turbbucket_lag1,turbbucket_ma21,tb_2")
 add("ft03_decomposition_features", on_base(lambda b: features.decomposition_features(b.withColumn("turbulence", F.col("fa") + F.col("fn") + F.col("fr")), ["fa", "fn", "fr"], sizes=(21,))), f"select universe, d, lag(sa * sa + sn * sn + sr * sr) {O}) as decconc_21, lag(sa) {O}) as decshare_fa_21 from (select *, case when pos >= 9 then sum(fa) {O} {fr(21, 0)} / sum(fa + fn + fr) {O} {fr(21, 0)} end as sa, case when pos >= 9 then sum(fn) {O} {fr(21, 0)} / sum(fa + fn + fr) {O} {fr(21, 0)} end as sn, case when pos >= 9 then sum(fr) {O} {fr(21, 0)} / sum(fa + fn + fr) {O} {fr(21, 0)} end as sr from b) t", doubles="decconc_21,decshare_fa_21")
 add("ft07_rates_pressure", on_base(lambda b: features.rates_pressure(b.filter("xa is not null"), X, ("xn",))), "select universe, d, greatest(xn, 0) / nullif(greatest(xa, 0) + greatest(xn, 0) + greatest(xr, 0), 0) as rates_pressure from b where xa is not null", doubles="rates_pressure")
 add("ft08_duration_trend", on_base(lambda b: features.duration_trend(b, "xa", 13)), f"select universe, d, case when count(xa) {O} {fr(13, 0)} = 13 then sum(xa) {O} {fr(13, 0)} end as duration_trend from b", doubles="duration_trend")
 add("tg01_entry_target", on_base(lambda b: features.turbulence_entry(b, "v", 0.3, 4)), f"select universe, d, case when max(v) {O} rows between 1 following and 4 following) >= 0.3 then 1 when max(v) {O} rows between 1 following and 4 following) is not null then 0 end as y from b", ints="y")
 add("tg02_forward_drawdown", on_base(lambda b: features.forward_drawdown(b, "fa", 4).withColumn("correction", features.correction_label(F.col("fdd"), 0.05))), f"select universe, d, fdd, (fdd <= -0.05)::int as correction from (select universe, d, min(ln(fa)) {O} rows between 1 following and 4 following) - ln(fa) as fdd from b) t", ints="correction", doubles="fdd")
-add("tg05_dev_threshold", on_base(lambda b: features.dev_quantile(b, "v", DEV_END, 0.9)), f"select universe, quantile_cont(v, 0.9) as threshold from b where d <= date '{DEV_END}' group by 1", keys="universe", doubles="threshold", digits=9)
+add("tg05_dev_threshold", on_base(lambda b: features.dev_quantile(b, "v", DEV_END, 0.9)), f"select universe, quantile_cont(v, 0.9) as threshold from b where d <= date '{DEV_END}' group by 1", keys="universe", doubles="threshold")
 
 
 def _dev_oos(b):
