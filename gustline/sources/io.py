@@ -48,8 +48,8 @@ def cached(spark: SparkSession, path: str, make) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """Parquet, CSV or JSON lines, by suffix; dates in ISO form."""
-    w = df.write.mode(mode)
+    """Parquet, CSV or JSON lines, by suffix; dates in ISO form, NaN and infinities as NULL."""
+    w = clean(df).write.mode(mode)
     w = w.partitionBy(*partition_by) if partition_by else w
     bare = path.rstrip("/").lower()
     if bare.endswith(".csv"):
