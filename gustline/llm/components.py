@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lows, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(lows, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stash(small.unionByName(lows.select("u", F.col("m").alias("v"))).distinct())

@@ -3,14 +3,14 @@
 A text's set is its distinct word shingles (64-bit hashes). ``PERMUTATIONS`` minima give ``BANDS`` band keys for
 candidates; of each minimum only the low ``B = 2`` bits are kept, packed into machine words, and the similarity
 of a candidate pair is estimated from bit counts, corrected for the collisions of two bits. Pairs whose estimate
-is ``SLACK`` or more below the threshold are dropped (7 standard errors and more at the defaults); all others
+is ``SLACK`` or more below the threshold are dropped (5 standard errors at the defaults); all others
 are confirmed on the full sets.
 
 Candidates never grow with the square of a group. Texts with equal sets are one node. In each band bucket every
 member is compared with one pivot, the smallest id; links form connected components; buckets whose members
 all lie in one component are closed. Buckets still open are compared with further random pivots, and what then
 remains open is compared pair by pair across components, without a cap, so that no link within a bucket is
-lost. With 32 bands of 4 minima, two texts with similarity 0.8 share a bucket with probability 1 - 5e-8.
+lost; there the size bound and the estimate are conditions of the join. With 32 bands of 4 minima, two texts with similarity 0.8 share a bucket with probability 1 - 5e-8.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is kept; a text
 with fewer words than a shingle has one shingle, its whole word sequence; rows that share an id are one
@@ -31,14 +31,17 @@ from pyspark.sql import functions as F
 from gustline.llm.components import connected_components
 from gustline.llm.shared import stash, unstash
 
-PERMUTATIONS, BANDS, B, SLACK = 128, 32, 2, 0.3
+PERMUTATIONS, BANDS, B, SLACK = 128, 32, 2, 0.2
 #: Rounds with random pivots, pivots a bucket, and open pairs a member from which such a round is worth while.
-PIVOT_ROUNDS, PIVOTS, PAIRS_A_MEMBER = 3, 3, 16
+PIVOT_ROUNDS, PIVOTS, PAIRS_A_MEMBER = 2, 4, 256
+
+#: Signature of members of buckets that stay open, and its slack (5 standard errors).
+FINE_PERMUTATIONS, FINE_SLACK = 1024, 0.075
 
 _STEP = 2048
 _rng = np.random.Generator(np.random.PCG64(20240817))
-_A = _rng.integers(1, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
-_C = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
+_A = _rng.integers(1, 1 << 32, FINE_PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
+_C = _rng.integers(0, 1 << 32, FINE_PERMUTATIONS, dtype=np.uint32)
 _K = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -68,13 +71,15 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
-def minima(s: np.ndarray) -> np.ndarray:
+def minima(s: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
     """The least value of each permutation over a non-empty set."""
     x = (s >> np.uint64(32)).astype(np.uint32)
-    out = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), _STEP):
-        y = np.multiply.outer(_A, x[at : at + _STEP])
-        y += _C[:, None]
+    out = np.full(permutations, 0xFFFFFFFF, np.uint32)
+    a, c = _A[:permutations], _C[:permutations, None]
+    step = _STEP * PERMUTATIONS // permutations
+    for at in range(0, len(x), step):
+        y = np.multiply.outer(a, x[at : at + step])
+        y += c
         np.minimum(out, y.min(axis=1), out=out)
     return out
 
@@ -92,11 +97,11 @@ def pack(m: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, permutations: int = PERMUTATIONS) -> Column:
     """Similarity from packed signatures: the share of equal positions, corrected for chance collisions."""
-    per = PERMUTATIONS // 64
+    per = permutations // 64
     differ = sum((F.bit_count(_any_plane(a, b, w, per)) for w in range(per)), F.lit(0))
-    equal = 1 - differ / F.lit(PERMUTATIONS)
+    equal = 1 - differ / F.lit(permutations)
     chance = 2.0**-B
     return (equal - chance) / (1 - chance)
 
@@ -184,17 +189,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
         n_members, n_pairs = _open_size(opened)
         if not n_pairs:
             break
-        if turn < PIVOT_ROUNDS and n_pairs > PAIRS_A_MEMBER * n_members:
-            pairs = _pivot_pairs(opened, turn)
-        else:
-            x, y = opened.alias("x"), opened.alias("y")
-            pairs = x.join(y, F.col("x.key") == F.col("y.key")).filter("x.comp < y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        more = stash(_linked(pairs, bits, sets, limit))
-        comp = stash(connected_components(links.unionByName(more)))
-        links = stash(links.unionByName(more))
-        if turn == PIVOT_ROUNDS or n_pairs <= PAIRS_A_MEMBER * n_members:
-            break
+        last = turn == PIVOT_ROUNDS or n_pairs <= PAIRS_A_MEMBER * n_members
+        pairs = _open_pairs(opened, nodes, sets, limit) if last else _pivot_pairs(opened, bits, limit, turn)
+        links = stash(links.unionByName(_linked(pairs, bits, sets, limit)))
+        comp = stash(connected_components(links))
         unstash(opened)
+        if last:
+            break
     unstash(sets)
     # rows of one id are one document: ids tie their sets together
     by_set = thin.filter("doc_id is not null").select("doc_id", "digest").distinct()
@@ -209,15 +210,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _sizes_fit(na: Column, nb: Column, threshold: Fraction) -> Column:
+    return F.least(na, nb) * threshold.denominator >= F.greatest(na, nb) * threshold.numerator
+
+
 def _linked(pairs: DataFrame, bits: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """Distinct pairs that pass the size bound, the signature estimate and the full comparison."""
-    t = float(threshold)
     pairs = pairs.filter("a != b").distinct()
     x = bits.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     y = bits.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    near = pairs.join(x, "a").join(y, "b").filter(F.least("na", "nb") * threshold.denominator >= F.greatest("na", "nb") * threshold.numerator)
-    near = near.filter(estimate(F.col("xa"), F.col("xb")) > t - SLACK).select("a", "b").distinct()
-    return _confirm(near, sets, threshold)
+    near = pairs.join(x, "a").join(y, "b").filter(_sizes_fit(F.col("na"), F.col("nb"), threshold) & (estimate(F.col("xa"), F.col("xb")) > float(threshold) - SLACK))
+    return _confirm(near.select("a", "b").distinct(), sets, threshold)
+
+
+def _fine(sets: DataFrame) -> DataFrame:
+    """id and long packed signature of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [pack(minima(np.frombuffer(x.as_buffer(), np.uint64), FINE_PERMUTATIONS)) for x in batch.column("s")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bits, pa.list_(pa.int64()))], ["id", "bits"])
+
+    return sets.mapInArrow(run, "id long, bits array<long>")
+
+
+def _open_pairs(opened: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """All pairs across components within open buckets that may reach the threshold, each from the first bucket
+    that both are in. Long signatures are made for these members only, and the bounds are conditions of the join
+    itself: pairs that fail them are never rows."""
+    fine = _fine(sets.join(opened.select("id").distinct(), "id", "left_semi"))
+    full = opened.join(nodes.select("id", "n", "bits", "bands").join(fine.withColumnRenamed("bits", "fine"), "id"), "id")
+    x, y = full.alias("x"), full.alias("y")
+    coarse = estimate(F.col("x.bits"), F.col("y.bits")) > float(threshold) - SLACK
+    near = _sizes_fit(F.col("x.n"), F.col("y.n"), threshold) & coarse & (estimate(F.col("x.fine"), F.col("y.fine"), FINE_PERMUTATIONS) > float(threshold) - FINE_SLACK)
+    first = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near & first
+    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def _open_members(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -234,11 +262,17 @@ def _open_size(opened: DataFrame) -> tuple[int, int]:
     return row["m"] or 0, (row["p"] or 0) // 2
 
 
-def _pivot_pairs(opened: DataFrame, turn: int) -> DataFrame:
-    """Each member of an open bucket with PIVOTS random members of other components."""
-    picks = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PIVOTS + k)), F.col("id"), F.col("comp"))).alias(f"p{k}") for k in range(PIVOTS)]
-    chosen = opened.groupBy("key").agg(*picks).select("key", F.explode(F.array(*[F.struct(F.col(f"p{k}.id").alias("b"), F.col(f"p{k}.comp").alias("bc")) for k in range(PIVOTS)])).alias("p"))
-    return opened.join(chosen, "key").filter("comp != p.bc").select(F.col("id").alias("a"), F.col("p.b").alias("b"))
+def _pivot_pairs(opened: DataFrame, bits: DataFrame, threshold: Fraction, turn: int) -> DataFrame:
+    """Members outside of an open bucket's largest component with PIVOTS random members of that component, where
+    size and estimate allow a link (conditions of the join: other pairs are never rows)."""
+    sizes = opened.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("comp", "k").alias("main"))
+    mine = opened.join(sizes, "key").join(bits, "id")
+    one = F.struct(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    picks = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PIVOTS + k)).alias("h"), one.alias("p"))).alias(f"p{k}") for k in range(PIVOTS)]
+    chosen = mine.filter("comp = main").groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.p") for k in range(PIVOTS)]))).alias("p")).select("key", "p.*")
+    out = mine.filter("comp != main").select("key", F.col("id").alias("a"), "n", "bits")
+    fits = _sizes_fit(F.col("n"), F.col("nb"), threshold) & (estimate(F.col("bits"), F.col("xb")) > float(threshold) - SLACK)
+    return out.alias("o").join(chosen.alias("c"), (F.col("o.key") == F.col("c.key")) & fits).select("a", "b")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
