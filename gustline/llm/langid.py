@@ -5,9 +5,9 @@ the basic plane) in sorted arrays, searched by bisection. A text's language is t
 cross-entropy per letter over the whole text; a second decision, calibrated on rows that the fit left out,
 says whether even the best model is too far off to be believed (column ``rejected``).
 
-The fit reads a bounded sample of labelled rows, ``SAMPLE_PER_LANGUAGE`` a language, the rows with the lowest
-checksums of their ids; whole texts are read and scored. Each model is therefore of bounded size, which is what
-is sent to the executors.
+The fit reads a bounded sample of labelled rows: of each language the share of ids with the lowest checksums that
+makes ``SAMPLE_PER_LANGUAGE`` expected rows, one row an id; whole texts are read and scored. Each model is
+therefore of bounded size, which is what is sent to the executors.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without labelled rows every
 text is ``und``; languages with equal cross-entropy are taken in alphabetical order; repeated rows are scored
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Order of the models, labelled rows a language that the fit reads, share of them that calibrates.
+#: Order of the models, expected labelled rows a language that the fit reads, share of them that calibrates.
 ORDER = 4
 SAMPLE_PER_LANGUAGE = 1000
 CALIBRATION_SHARE = 5
@@ -153,18 +153,14 @@ def calibrate(models: LanguageModels, rows: list[tuple[str, np.ndarray, np.ndarr
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModels:
     """Models from a bounded sample of ``labelled``; rows with a null text or language take no part."""
-    from pyspark.sql import Window
-
-    rows = labelled.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter("text is not null and lang is not null")
+    rows = labelled.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter("text is not null and lang is not null and id is not null")
     mark = F.xxhash64(F.lit(17), "id")
-    # the cut is found on thin rows; only rows of the sample move with their texts
-    thin = rows.select("lang", mark.alias("m"), "id")
-    cut = thin.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("m", "id"))).filter(F.col("r") <= SAMPLE_PER_LANGUAGE)
-    cut = cut.groupBy("lang").agg(F.max("m").alias("most")).collect()  # a row a language
+    # the share of each language's ids to read, as a bound on their evenly spread checksums: one count a language
     most = F.lit(None).cast("long")
-    for r in cut:
-        most = F.when(F.col("lang") == r["lang"], F.lit(r["most"])).otherwise(most)
-    chosen = rows.filter(mark <= most).select("lang", "id", "text")
+    for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect():
+        bound = -(1 << 63) + min((1 << 64) - 1, (SAMPLE_PER_LANGUAGE << 64) // r["n"])
+        most = F.when(F.col("lang") == r["lang"], F.lit(bound)).otherwise(most)
+    chosen = rows.filter(mark <= most).dropDuplicates(["lang", "id"]).select("lang", "id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
