@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
             break
         last = turn == PIVOT_ROUNDS or n_pairs <= PAIRS_A_MEMBER * n_members
         pairs = _open_pairs(opened, nodes, sets, limit) if last else _pivot_pairs(opened, bits, limit, turn)
-        links = stash(links.unionByName(_linked(pairs, bits, sets, limit)))
+        links = stash(links.unionByName(_confirm(pairs.distinct(), sets, limit)))  # the joins that made them hold the bounds
         comp = stash(connected_components(links))
         unstash(opened)
         if last:
