@@ -297,6 +297,33 @@ def test_chat_round_trip(spark):
         assert got[c]["formatted_chars"] == sum(len(chat.segment(r, t)[0]) for r, t in own)
 
 
+@pytest.mark.parametrize("piece", [1, 200, 1 << 16])
+def test_chat_examples_hold_their_whole_context(spark, monkeypatch, piece):
+    r = random.Random(8)
+    turns = [(c, i, r.choice(["user", "assistant", "system", "assistant"]), r.choice(["", "</s>[INST] \\l", prose(r.randint(1, 40), i)])) for c, n in ((1, 1), (2, 7), (3, 60), (None, 5)) for i in range(n)]
+    turns += [(4, 0, "user", "q"), (4, 1, "assistant", "a"), (4, 2, "user", "never answered"), (5, 0, "user", "alone")]
+    monkeypatch.setattr(chat, "PIECE_CHARS", piece)
+    f = chat.format_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)).cache()
+    got = {}
+    for x in chat.expand(f).collect():
+        got.setdefault((x["conv_id"], x["example"]), []).append((x["piece"], x["text"], x["loss_start"], x["loss_end"]))
+    want = {}
+    for c in (1, 2, 3, None, 4, 5):
+        own = [(role, t) for k, _, role, t in turns if k == c]
+        ends = [i for i, (role, _) in enumerate(own) if role == "assistant"]
+        want |= {(c, n): own[: i + 1] for n, i in enumerate(ends, 1)}
+    assert got.keys() == want.keys() and max(n for _, n in want) > 20
+    for key, own in want.items():
+        rows = sorted(got[key])
+        assert chat.parse("".join(x[1] for x in rows)) == own
+        assert all(x[2] is None for x in rows[:-1]) and chat.unescape(rows[-1][1][rows[-1][2] : rows[-1][3]]) == own[-1][1]
+    for x in chat.read_back(f).collect():
+        own = [(role, t) for k, _, role, t in turns if k == x["conv_id"]]
+        assert x["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{t}\n" for a, t in own).encode()).hexdigest() and x["n_turns"] == len(own)
+        assert x["loss_sha256"] == hashlib.sha256("".join(t for a, t in own if a == "assistant").encode()).hexdigest()
+    f.unpersist()
+
+
 # language and toxicity, on rows that the fits never saw
 
 
