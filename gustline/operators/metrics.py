@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,14 +69,37 @@ def correlations(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFram
     return rows.groupBy(*keys).agg(F.corr(a, b).alias("pearson"), F.corr("__ra", "__rb").alias("spearman"))
 
 
+def inversions(r: np.ndarray) -> int:
+    """Pairs i < j with r[i] > r[j] of whole numbers from 0 on, a bit at a time from the highest."""
+    total, r = 0, np.asarray(r, np.int64)
+    for k in reversed(range(int(r.max(initial=0)).bit_length())):
+        r = r[np.argsort(r >> (k + 1), kind="stable")]
+        bit = (r >> k) & 1
+        ones = np.cumsum(bit)
+        fresh = np.flatnonzero(np.diff(r >> (k + 1), prepend=-1))
+        before = np.repeat((ones - bit)[fresh], np.diff(np.append(fresh, len(r))))
+        total += int((ones - before)[bit == 0].sum())
+    return total
+
+
 def kendall(df: DataFrame, keys: Sequence[str], item: str, a: str, b: str) -> DataFrame:
-    """Kendall's tau-b over items of a group (short lists: importance tables), by an equi-join on the keys."""
-    x, y = df.alias("x"), df.alias("y")
-    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys] + [F.col(f"x.{item}") < F.col(f"y.{item}")]
-    s = lambda c: F.signum(F.col(f"x.{c}") - F.col(f"y.{c}"))
-    p = x.join(y, on).select(*[F.col(f"x.{k}").alias(k) for k in keys], s(a).alias("sa"), s(b).alias("sb"))
-    g = p.groupBy(*keys).agg(F.sum(F.col("sa") * F.col("sb")).alias("c"), F.sum(F.abs("sa")).alias("na"), F.sum(F.abs("sb")).alias("nb"))
-    return g.select(*keys, F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("c") / F.sqrt(F.col("na") * F.col("nb"))).alias("tau"))
+    """Kendall's tau-b over items of a group, by sorting and inversion counts; a pair with a missing value counts only
+    for the ties of the other column."""
+    pairs = lambda n: int((n * (n - 1) // 2).sum())
+    differ = lambda x: pairs(np.array([len(x)])) - pairs(np.unique(x, return_counts=True)[1])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["a"].to_numpy(float), pdf["b"].to_numpy(float)
+        na, nb = differ(x[~np.isnan(x)]), differ(y[~np.isnan(y)])
+        ok = ~np.isnan(x) & ~np.isnan(y)
+        x, y = (np.unique(z[ok], return_inverse=True)[1].astype(np.int64) for z in (x, y))
+        both = differ(x) + differ(y) - differ(x * (len(y) + 1) + y)
+        tau = (both - 2 * inversions(y[np.lexsort((y, x))])) / math.sqrt(na * nb) if na and nb else None
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "tau": pd.Series([tau], dtype="float64")})[: len(pdf) - 1]
+
+    kinds = dict(df.dtypes)
+    rows = df.filter(F.col(item).isNotNull()).select(*keys, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    return rows.groupBy(*keys).applyInPandas(one, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "tau double"]))
 
 
 # forecasts: columns y (0/1) and p

@@ -25,10 +25,12 @@ class Training:
         self.inv = np.linalg.pinv(self.cov)
 
     @classmethod
-    def of(cls, df: DataFrame, columns: Sequence[str], y: str) -> Training:
-        rows = df.select(*columns, y).na.drop().limit(MOST_CELLS // max(len(columns), 1) + 1).toPandas()
+    def of(cls, df: DataFrame, columns: Sequence[str], y: str, order: Sequence[str] = ()) -> Training:
+        """The complete rows by ``order``, and by their values within it."""
+        rows = df.select(*columns, y, *[c for c in order if c not in (*columns, y)]).na.drop("any", subset=[*columns, y]).limit(MOST_CELLS // max(len(columns), 1) + 1).toPandas()
         if rows.shape[0] * len(columns) > MOST_CELLS:
             raise ValueError("the training matrix is too large to be sent")
+        rows = rows.sort_values([*order, *[c for c in (*columns, y) if c not in order]])
         return cls(rows[list(columns)].to_numpy(float), rows[y].to_numpy(float), columns)
 
     def subset(self, names: Sequence[str] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -82,6 +84,21 @@ def predict(queries: DataFrame, training: Training, id_col: str, names: Sequence
     return queries.select(id_col, *use).mapInPandas(run, f"{id_col} {kind}, prediction double")
 
 
+def scores(queries: DataFrame, training: Training, keep: Sequence[str], xt: np.ndarray) -> DataFrame:
+    """The columns ``keep`` of every row, with sim (similarity to ``xt``) and inf (informativeness)."""
+    sent = queries.sparkSession.sparkContext.broadcast(training)
+    kinds = dict(queries.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = sent.value
+        for b in batches:
+            x = b[t.columns].to_numpy(float)
+            yield b[list(keep)].assign(sim=-0.5 * quadratic(x - xt, t.inv), inf=0.5 * quadratic(x - t.mean, t.inv))
+
+    rows = queries.select(*keep, *[c for c in training.columns if c not in keep])
+    return rows.mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "sim double", "inf double"]))
+
+
 def subsets(columns: Sequence[str], n: int, seed: int | None = 0) -> list[tuple[str, ...]]:
     """Singletons, n random (or, without a seed, the first n in listing order) larger subsets, and the full set."""
     cols = list(columns)

@@ -207,6 +207,7 @@ add("agg06_moments", on_base(lambda b: metrics.moments(b, ["universe"], "xa")),
 add("agg06_kl_to_normal", on_base(lambda b: metrics.kl_to_normal(b, ["universe"], "xa")), None, keys="universe", doubles="kl")
 add("agg07_correlations", on_base(lambda b: metrics.correlations(b, ["universe"], "xa", "xn")), "select universe, corr(xa, xn) as pearson, corr(ra, rn) as spearman from (select *, rank() over (partition by universe order by xa) + (count(*) over (partition by universe, xa) - 1) / 2.0 as ra, rank() over (partition by universe order by xn) + (count(*) over (partition by universe, xn) - 1) / 2.0 as rn from b where xa is not null and xn is not null) t group by 1", keys="universe", doubles="pearson,spearman")
 add("agg07_kendall", on_base(lambda b: metrics.kendall(b.filter("pos between 1 and 60").withColumn("item", F.col("pos")), ["universe"], "item", "xa", "xn")), "select x.universe, sum(sign(x.xa - y.xa) * sign(x.xn - y.xn)) / sqrt(sum(abs(sign(x.xa - y.xa))) * sum(abs(sign(x.xn - y.xn)))) as tau from b x join b y on x.universe = y.universe and x.pos < y.pos where x.pos between 1 and 60 and y.pos between 1 and 60 group by 1", keys="universe", doubles="tau")
+add("agg07_kendall_whole", on_base(lambda b: metrics.kendall(b, ["universe"], "pos", "xa", "xn")), "select x.universe, sum(sign(x.xa - y.xa) * sign(x.xn - y.xn)) / sqrt(sum(abs(sign(x.xa - y.xa))) * sum(abs(sign(x.xn - y.xn)))) as tau from b x join b y on x.universe = y.universe and x.pos < y.pos group by 1", keys="universe", doubles="tau")
 add("agg08_confusion", on_base(lambda b: metrics.confusion(forecasts(b), ["universe"], cut=0.2)), "select universe, count(*) filter (p >= 0.2 and y = 1) as tp, count(*) filter (p >= 0.2 and y = 0) as fp, count(*) filter (p < 0.2 and y = 1) as fn, count(*) filter (p < 0.2 and y = 0) as tn from fc where y is not null and p is not null group by 1", keys="universe", ints="tp,fp,fn,tn", ctes=FC)
 add("agg08_top_decile", on_base(lambda b: metrics.top_decile(forecasts(b), ["universe"])), "select f.universe, t.threshold, count(*) filter (p >= threshold and y = 1) as tp, count(*) filter (p >= threshold and y = 0) as fp, count(*) filter (p < threshold and y = 1) as fn from fc f join (select universe, quantile_cont(p, 0.9) as threshold from fc where y is not null and p is not null group by 1) t on t.universe = f.universe where y is not null and p is not null group by 1, 2", keys="universe", ints="tp,fp,fn", doubles="threshold", ctes=FC)
 add("agg09_roc_auc", on_base(lambda b: metrics.roc_auc(forecasts(b), ["universe"])), "select universe, (sum(r) filter (y = 1) - n1 * (n1 + 1) / 2.0) / (n1 * (n - n1)) as auc, n from (select *, rank() over (partition by universe order by p) + (count(*) over (partition by universe, p) - 1) / 2.0 as r, sum(y) over (partition by universe) as n1, count(*) over (partition by universe) as n from fc where y is not null and p is not null) t group by universe, n1, n", keys="universe", ints="n", doubles="auc", ctes=FC)
@@ -442,6 +443,7 @@ pv as (select universe, d, avg(ca) over h / (avg(ca) over h + avg(cn) over h + a
 CT = _mom_sql(LB, True) + ", " + EPI + ", " + PRE
 add("in06_null_mean", on_base(lambda b: inference.null_mean_cosine(_pairs(b), "pre", "composition")), "select avg((x.pa * y.a + x.pn * y.n + x.pr * y.r) / (sqrt(x.pa ** 2 + x.pn ** 2 + x.pr ** 2) * sqrt(y.a ** 2 + y.n ** 2 + y.r ** 2))) as null_mean from (select pv.* from pv join cp on cp.universe = pv.universe and cp.start_ = pv.d where pa is not null) x, (select cp.* from pv join cp on cp.universe = pv.universe and cp.start_ = pv.d where pa is not null) y", keys="", doubles="null_mean", ctes=CT)
 add("in07_sign_flip_exact", on_base(lambda b: inference.sign_flip(b.filter("universe = 'ASIA' and pos between 1 and 10"), "xa")), "select any_value(m) as mean, avg((s / 10 >= m - 1e-12)::int) as p_value, 10 as n from (select k, sum(case when (k >> cast(i as integer)) & 1 = 1 then xa else -xa end) as s from (select cast(range as integer) as k from range(0, 1024)), (select xa, row_number() over (order by d) - 1 as i from b where universe = 'ASIA' and pos between 1 and 10) x group by 1) z, (select avg(xa) as m from b where universe = 'ASIA' and pos between 1 and 10) a", keys="", ints="n", doubles="mean,p_value")
+add("in07_sign_flip_exact_years", on_base(lambda b: inference.sign_flip(b.filter("xa is not null").groupBy(F.year("d").alias("yr")).agg(F.avg("xa").alias("xa")), "xa")), "select any_value(m) as mean, avg((s / n >= m - 1e-12)::int) as p_value, any_value(n) as n from (select k, sum(case when (k >> cast(i as integer)) & 1 = 1 then xa else -xa end) as s from (select cast(range as integer) as k from range(0, (select 1 << count(*) from yx))), (select xa, row_number() over (order by yr) - 1 as i from yx) group by 1) z, (select avg(xa) as m, count(*) as n from yx) a", keys="", ints="n", doubles="mean,p_value", ctes="yx as (select year(d) as yr, avg(xa) as xa from b where xa is not null group by 1)")
 add("in07_sign_flip", on_base(lambda b: inference.sign_flip(b.filter("xa is not null"), "xa", 400)), None, keys="", ints="n", doubles="mean,p_value")
 add("in07_episode_interval", on_base(lambda b: inference.episode_interval(_episodes(b), "mean_turb", 400)), None, keys="", ints="n", doubles="mean,lo,hi")
 add("in08_cluster_tests", on_base(lambda b: inference.cluster_interval(regimes.clusters(_episodes(b)).withColumn("c", F.concat("universe", F.col("cluster").cast("string"))), "mean_turb", "c", 400)), None, keys="", ints="n", doubles="mean,lo,hi")
@@ -494,10 +496,15 @@ add("ty04_clusters", on_base(lambda b: typology.cluster_episodes(typology.compos
 
 
 def _train(b):
-    return relevance.Training.of(b.filter("universe = 'ASIA'").select(*X, F.lead("v").over(S.series()).alias("nxt")), X, "nxt")
+    return relevance.Training.of(b.filter("universe = 'ASIA'").select("pos", *X, F.lead("v").over(S.series()).alias("nxt")), X, "nxt", ["pos"])
 
 
-add("rb01_relevance", lambda spark, sf: (lambda b, t: spark.createDataFrame([(i, relevance.similarity(t.x[i], t.x[0], t.inv), relevance.informativeness(t.x[i], t.mean, t.inv)) for i in range(10)], "i long, sim double, inf double"))(None, _train(base(spark, sf))), None, keys="", ints="i", doubles="sim,inf")
+def _scores(b):
+    t = _train(b)
+    return relevance.scores(b.filter("universe = 'ASIA' and xa is not null").withColumn("i", F.col("pos")), t, ["i"], t.x[0])
+
+
+add("rb01_relevance", on_base(_scores), None, keys="", ints="i", doubles="sim,inf")
 add("rb04_predictions", on_base(lambda b: relevance.predict(b.filter("universe = 'EUROPE' and xa is not null"), _train(b), "pos", None, 0.5)), None, keys="", ints="pos", doubles="prediction")
 
 

@@ -114,6 +114,32 @@ def test_auc_ties_and_single_class(spark):
     assert got == {"a": 0.75, "b": None}
 
 
+def test_kendall_equals_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    rows = [(u, i, None if rng.random() < 0.05 else float(rng.integers(0, top)), None if rng.random() < 0.05 else float(rng.integers(0, top))) for u, n, top in (("a", 90, 7), ("b", 80, 10**6), ("c", 2, 5), ("d", 1, 5), ("e", 9, 1)) for i in range(n)]
+    got = {r["universe"]: r["tau"] for r in metrics.kendall(spark.createDataFrame(rows, "universe string, pos int, a double, b double"), ["universe"], "pos", "a", "b").collect()}
+    for u in "abce":
+        sign = lambda p, q: np.nan if p is None or q is None else np.sign(p - q)
+        s = np.array([(sign(x[2], y[2]), sign(x[3], y[3])) for x in rows for y in rows if x[0] == y[0] == u and x[1] < y[1]], float)
+        na, nb = np.nansum(abs(s[:, 0])), np.nansum(abs(s[:, 1]))
+        assert got[u] == pytest.approx(np.nansum(s[:, 0] * s[:, 1]) / (na * nb) ** 0.5) if na and nb else got[u] is None
+    assert "d" not in got
+
+
+def test_queries_take_every_row(spark, sf):
+    from gustline import queries as q
+
+    sf = sf.replace("sf0.001", "sf0.01")
+    b = q.base(spark, sf).filter("xa is not null").selectExpr("universe", "pos", "year(d) yr", "xa", "xn").toPandas()
+    tau = {r["universe"]: r["tau"] for r in q.QUERIES["agg07_kendall_whole"](spark, sf).collect()}
+    for u, g in b.groupby("universe"):
+        s = np.sign(g["xa"].to_numpy()[:, None] - g["xa"].to_numpy()) * np.sign(g["xn"].to_numpy()[:, None] - g["xn"].to_numpy())
+        assert len(g) > 60 and tau[u] == pytest.approx(s.sum() / (len(g) * (len(g) - 1)), abs=1e-6)
+    assert q.QUERIES["in07_sign_flip_exact_years"](spark, sf).first()["n"] == b["yr"].nunique()
+    asia = sorted(b[b["universe"] == "ASIA"]["pos"])
+    assert [r["i"] for r in q.QUERIES["rb01_relevance"](spark, sf).orderBy("i").collect()] == asia and len(asia) > 10
+
+
 def test_purged_folds_keep_their_distance(spark):
     f = splits.purged_folds(spark.createDataFrame([("u", 1000)], "universe string, n int"), 5, 21, 10, 100).toPandas()
     assert ((f["test_lo"] - f["train_hi"]) == 31).all() and f["test_hi"].max() == 1000
