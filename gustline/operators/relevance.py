@@ -113,12 +113,12 @@ def subsets(columns: Sequence[str], n: int, seed: int | None = 0) -> list[tuple[
     return list(dict.fromkeys([*out, tuple(cols)]))
 
 
-def grid_cells(df: DataFrame, columns: Sequence[str], y: str, chosen: Sequence[tuple[str, ...]], censors: Sequence[float] = (0.0, 0.2, 0.5, 0.8), n_eval: int = 128, seed: int = 0) -> DataFrame:
+def grid_cells(df: DataFrame, columns: Sequence[str], y: str, chosen: Sequence[tuple[str, ...]], censors: Sequence[float] = (0.0, 0.2, 0.5, 0.8), n_eval: int = 128, seed: int = 0, order: Sequence[str] = ()) -> DataFrame:
     """One row per subset and censor: subset, censor, adjusted_fit (squared correlation of leave-one-out
     predictions with outcomes; NULL below five or without variance), mean_prediction, n_eval. A subset is a task;
     its evaluation rows are one matrix product."""
     spark = df.sparkSession
-    t = Training.of(df, columns, y)
+    t = Training.of(df, columns, y, order)
     n = len(t.x)
     rng = np.random.default_rng(np.random.SeedSequence([seed, 1]))
     at = np.arange(n) if n_eval >= n else np.sort(rng.choice(n, n_eval, replace=False))

@@ -6,6 +6,7 @@ returns xa, xn, xr and a non-negative intensity v. Floating results are rounded
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -91,6 +92,19 @@ def on_base(f):
     return lambda spark, sf: f(base(spark, sf))
 
 
+def each_universe(f):
+    """``f(own, others)`` of the panel of every universe and of the rows of all others, with the universe on its rows;
+    for operators of one series or one training matrix."""
+
+    def run(spark, sf):
+        b = base(spark, sf).cache()
+        names = sorted(r[0] for r in b.select("universe").distinct().collect())
+        parts = [f(b.filter(F.col("universe") == u), b.filter(F.col("universe") != u)).withColumn("universe", F.lit(u)) for u in names]
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    return run
+
+
 O = "over (partition by universe order by d"  # noqa: E741
 
 # --- projections and filters ----------------------------------------------------------------------------------------
@@ -425,10 +439,10 @@ def _losses(b):
 
 DM = f"dm as (select universe, d, dd - avg(dd) over (partition by universe) as c, dd from (select universe, d, xa * xa - xn * xn as dd from b where xa is not null) z), dg as (select *, lag(c) {O}) as c1, lag(c, 2) {O}) as c2 from dm)"
 add("in01_diebold_mariano", on_base(lambda b: inference.diebold_mariano(_losses(b), ["universe"], "la", "lb", 3)), "select universe, count(*) as n, avg(dd) as mean_diff, avg(dd) / sqrt((sum(c * c) + 2 * (1 - 1 / 3.0) * sum(c * c1) + 2 * (1 - 2 / 3.0) * sum(c * c2)) / count(*) / count(*)) as stat from dg group by 1", keys="universe", ints="n", doubles="mean_diff,stat", ctes=DM)
-add("in02_block_bootstrap", on_base(lambda b: inference.bootstrap_difference(b.filter("universe = 'ASIA'"), "xa", "xn", block=8, n=400)), None, keys="", ints="n_resamples", doubles="observed,lo,hi,p_value")
-add("in03_stationary_bootstrap", on_base(lambda b: inference.bootstrap_difference(b.filter("universe = 'ASIA'"), "xa", "xn", block=8, n=400, method="stationary")), None, keys="", ints="n_resamples", doubles="observed,lo,hi,p_value")
+add("in02_block_bootstrap", each_universe(lambda b, _: inference.bootstrap_difference(b, "xa", "xn", block=8, n=400)), None, keys="universe", ints="n_resamples", doubles="observed,lo,hi,p_value")
+add("in03_stationary_bootstrap", each_universe(lambda b, _: inference.bootstrap_difference(b, "xa", "xn", block=8, n=400, method="stationary")), None, keys="universe", ints="n_resamples", doubles="observed,lo,hi,p_value")
 add("in04_basket_bootstrap", on_base(lambda b: inference.bootstrap_basket(b, "xa", "xn", 8, 400)), None, keys="", ints="n_resamples", doubles="observed,lo,hi")
-add("in05_mean_difference", on_base(lambda b: inference.bootstrap_mean_difference(b.filter("universe = 'ASIA' and xa is not null").withColumn("flag", F.col("v") > 0.3), "xa", "flag", 8, 400)), None, keys="", doubles="observed,lo,hi,p_value")
+add("in05_mean_difference", each_universe(lambda b, _: inference.bootstrap_mean_difference(b.filter("xa is not null").withColumn("flag", F.col("v") > 0.3), "xa", "flag", 8, 400)), None, keys="universe", doubles="observed,lo,hi,p_value")
 
 
 def _pairs(b):
@@ -449,9 +463,10 @@ add("in07_episode_interval", on_base(lambda b: inference.episode_interval(_episo
 add("in08_cluster_tests", on_base(lambda b: inference.cluster_interval(regimes.clusters(_episodes(b)).withColumn("c", F.concat("universe", F.col("cluster").cast("string"))), "mean_turb", "c", 400)), None, keys="", ints="n", doubles="mean,lo,hi")
 add("in08_t_test", on_base(lambda b: inference.t_test(b, ["universe"], "xa")), "select universe, count(xa) as n, avg(xa) as mean, avg(xa) / (stddev_samp(xa) / sqrt(count(xa))) as t from b group by 1", keys="universe", ints="n", doubles="mean,t")
 add("in08_wilcoxon", on_base(lambda b: inference.wilcoxon(b.filter("xa is not null"), ["universe"], "xa")), "select universe, sum(case when xa > 0 then r else 0 end) as w_plus, count(*) as n from (select *, rank() over (partition by universe order by abs(xa)) + (count(*) over (partition by universe, abs(xa)) - 1) / 2.0 as r from b where xa is not null and xa <> 0) t group by 1", keys="universe", ints="n", doubles="w_plus")
-add("in09_label_permutation", on_base(lambda b: inference.label_permutation(b.filter("universe = 'ASIA' and xa is not null").withColumn("g", F.col("pos") % 2 == 0), "xa", "g", 400)), None, keys="", doubles="difference,p_value")
-add("in10_spearman_interval", on_base(lambda b: inference.bootstrap_spearman(b.filter("universe = 'ASIA' and xa is not null"), "xa", "xn", 8, 400)), None, keys="", doubles="observed,lo,hi")
+add("in09_label_permutation", each_universe(lambda b, _: inference.label_permutation(b.filter("xa is not null").withColumn("g", F.col("pos") % 2 == 0), "xa", "g", 400)), None, keys="universe", doubles="difference,p_value")
+add("in10_spearman_interval", each_universe(lambda b, _: inference.bootstrap_spearman(b.filter("xa is not null"), "xa", "xn", 8, 400)), None, keys="universe", doubles="observed,lo,hi")
 add("in11_incremental_r2", on_base(lambda b: inference.incremental_r2(b.filter("universe = 'ASIA'"), "xa", ["xn"], ["xr"])), "select regr_r2(xa, xn) as r2_base from b where universe = 'ASIA' and xr is not null", keys="", doubles="r2_base")
+add("in11_incremental_r2_universes", each_universe(lambda b, _: inference.incremental_r2(b, "xa", ["xn"], ["xr"])), "select universe, regr_r2(xa, xn) as r2_base from b where xr is not null group by 1", keys="universe", doubles="r2_base")
 
 # --- causality ------------------------------------------------------------------------------------------------------
 
@@ -496,26 +511,27 @@ add("ty04_clusters", on_base(lambda b: typology.cluster_episodes(typology.compos
 
 
 def _train(b):
-    return relevance.Training.of(b.filter("universe = 'ASIA'").select("pos", *X, F.lead("v").over(S.series()).alias("nxt")), X, "nxt", ["pos"])
+    return relevance.Training.of(b.select("universe", "pos", *X, F.lead("v").over(S.series()).alias("nxt")), X, "nxt", ["universe", "pos"])
 
 
 def _scores(b):
     t = _train(b)
-    return relevance.scores(b.filter("universe = 'ASIA' and xa is not null").withColumn("i", F.col("pos")), t, ["i"], t.x[0])
+    return relevance.scores(b.filter("xa is not null").withColumn("i", F.col("pos")), t, ["i"], t.x[0])
 
 
-add("rb01_relevance", on_base(_scores), None, keys="", ints="i", doubles="sim,inf")
-add("rb04_predictions", on_base(lambda b: relevance.predict(b.filter("universe = 'EUROPE' and xa is not null"), _train(b), "pos", None, 0.5)), None, keys="", ints="pos", doubles="prediction")
+add("rb01_relevance", each_universe(lambda b, _: _scores(b)), None, keys="universe", ints="i", doubles="sim,inf")
+# a universe is predicted from all others, so that no row sees its own outcome
+add("rb04_predictions", each_universe(lambda b, others: relevance.predict(b.filter("xa is not null"), _train(others), "pos", None, 0.5)), None, keys="universe", ints="pos", doubles="prediction")
 
 
 def _cells(b):
-    rows = b.filter("universe = 'ASIA'").select(*X, F.lead("v").over(S.series()).alias("nxt"))
-    return relevance.grid_cells(rows, X, "nxt", relevance.subsets(X, 6), (0.0, 0.5), 64)
+    rows = b.select("pos", *X, F.lead("v").over(S.series()).alias("nxt"))
+    return relevance.grid_cells(rows, X, "nxt", relevance.subsets(X, 6), (0.0, 0.5), 64, order=["pos"])
 
 
-add("rb06_prediction_grid", on_base(lambda b: _cells(b).withColumn("name", F.concat_ws(",", "subset"))), None, keys="name", ints="n_eval", doubles="censor,adjusted_fit,mean_prediction")
-add("rb07_importance", on_base(lambda b: relevance.importance(_cells(b), X)), None, keys="variable", doubles="rbi,tau")
-add("rb09_stability", on_base(lambda b: relevance.stability(relevance.importance(_cells(b), X).withColumn("win", F.lit(0)).unionByName(relevance.importance(_cells(b.filter("pos < 200")), X).withColumn("win", F.lit(1))), "win")), None, keys="", ints="i", doubles="tau")
+add("rb06_prediction_grid", each_universe(lambda b, _: _cells(b).withColumn("name", F.concat_ws(",", "subset"))), None, keys="universe,name", ints="n_eval", doubles="censor,adjusted_fit,mean_prediction")
+add("rb07_importance", each_universe(lambda b, _: relevance.importance(_cells(b), X)), None, keys="universe,variable", doubles="rbi,tau")
+add("rb09_stability", each_universe(lambda b, _: relevance.stability(relevance.importance(_cells(b), X).withColumn("win", F.lit(0)).unionByName(relevance.importance(_cells(b.filter("pos < 200")), X).withColumn("win", F.lit(1))), "win")), None, keys="universe", ints="i", doubles="tau")
 
 
 def _xy(b):
