@@ -147,6 +147,7 @@ def _prj10b(b):
 
 add("prj10_log_ratio", on_base(_prj10b), "select universe, d, ln(fn) - (ln(fa) + ln(fn) + ln(fr)) / 3 as clr_n from b", doubles="clr_n")
 add("flt01_complete_rows", on_base(lambda b: panel.complete(b.withColumn("u", F.when(F.col("pos") % 3 > 0, F.col("xa"))), ["u", "xn"], "any").groupBy("universe").agg(F.count("*").alias("n"))), "select universe, count(*) as n from b where pos % 3 > 0 and xa is not null and xn is not null group by 1", keys="universe", ints="n")
+add("flt01_complete_rows_whole", on_base(lambda b: panel.complete(b, ["xa", "xn"], "any").groupBy("universe").agg(F.count("*").alias("n"))), "select universe, count(*) as n from b where xa is not null and xn is not null group by 1", keys="universe", ints="n")
 add("flt02_date_slice", on_base(lambda b: b.filter(F.col("d").between("1998-01-05", "1998-12-28"))), "select * from b where d between date '1998-01-05' and date '1998-12-28'", ints="pos", doubles="v")
 
 
@@ -184,6 +185,18 @@ add("jn04_left_on_spine", on_base(lambda b: panel.on_spine(b.select("universe",
 add("jn05_coalesce_sources", on_base(lambda b: panel.coalesce_join(_halves(b)[0].withColumnRenamed("l", "value"), [_halves(b)[1].withColumnRenamed("r", "value")])), "select coalesce(l.universe, r.universe) as universe, coalesce(l.d, r.d) as d, coalesce(l, r) as value from l full join r on l.universe = r.universe and l.d = r.d", doubles="value", ctes=H)
 
 
+def _sources(b):
+    return b.filter("v > 0.2").select("universe", "d", F.col("xa").alias("l")), b.filter("xa > 0").select("universe", "d", F.col("xn").alias("r"))
+
+
+# two sources that differ by content, over all rows
+HS = "l as (select universe, d, xa as l from b where v > 0.2), r as (select universe, d, xn as r from b where xa > 0)"
+add("jn01_inner_align_whole", on_base(lambda b: panel.inner_align(*_sources(b))), "select l.universe, l.d, l, r from l join r on l.universe = r.universe and l.d = r.d where l is not null and r is not null", doubles="l,r", ctes=HS)
+add("jn03_outer_align_whole", on_base(lambda b: panel.outer_align(*_sources(b))), "select coalesce(l.universe, r.universe) as universe, coalesce(l.d, r.d) as d, l, r from l full join r on l.universe = r.universe and l.d = r.d", doubles="l,r", ctes=HS)
+add("jn04_left_on_spine_whole", on_base(lambda b: panel.on_spine(b.select("universe", "d"), _sources(b)[1])), "select b.universe, b.d, r from b left join r on b.universe = r.universe and b.d = r.d", doubles="r", ctes=HS)
+add("jn05_coalesce_sources_whole", on_base(lambda b: panel.coalesce_join(_sources(b)[0].withColumnRenamed("l", "value"), [_sources(b)[1].withColumnRenamed("r", "value")])), "select coalesce(l.universe, r.universe) as universe, coalesce(l.d, r.d) as d, coalesce(l, r) as value from l full join r on l.universe = r.universe and l.d = r.d", doubles="value", ctes=HS)
+
+
 def _asof(b):
     fits = b.filter("pos % 21 = 0").select("universe", F.col("pos").alias("refit_pos"), F.col("fa").alias("fitted"))
     return panel.asof_refit(b, fits, 21)

@@ -140,6 +140,17 @@ def test_queries_take_every_row(spark, sf):
     assert sorted(rows) == sorted(zip(b["universe"], b["pos"])) and len(rows) > 10
 
 
+def test_alignments_take_every_row(spark, sf):
+    from gustline import queries as q
+
+    sf = sf.replace("sf0.001", "sf0.01")
+    b = q.base(spark, sf).select("v", "xa", "xn").toPandas()
+    n = {x: q.QUERIES[x + "_whole"](spark, sf).count() for x in ("jn01_inner_align", "jn03_outer_align", "jn04_left_on_spine", "jn05_coalesce_sources")}
+    l, r = b["v"] > 0.2, b["xa"] > 0  # noqa: E741
+    assert list(n.values()) == [(l & r).sum(), (l | r).sum(), len(b), (l | r).sum()]
+    assert sum(x["n"] for x in q.QUERIES["flt01_complete_rows_whole"](spark, sf).collect()) == len(b.dropna())
+
+
 def test_queries_take_every_universe(spark, sf):
     from gustline import queries as q
 
