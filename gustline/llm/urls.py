@@ -9,7 +9,9 @@ allowing rule fits stays allowed, and a component with an allowed member carries
 Only DataFrame functions run. Defined results: a null url, or one without ``://``, has an empty host and path,
 fits no rule, takes part in no component and is allowed; a null page text has no links; repeated rows are judged
 one by one; an empty table gives an empty result; further columns are not read. Links are taken from the raw
-text of the page, a commented-out one included; a target that starts with ``/`` is on the page's own host.
+text of the page, every one of a kind and a commented-out one included; ``&amp;`` in a target is ``&``, and relative
+targets (``//host``, ``/path``, ``path``, ``?query``) are resolved against the page's url; other schemes without
+``://`` are no links.
 """
 
 from __future__ import annotations
@@ -53,14 +55,33 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return out
 
 
+def resolve(url: Column, to: Column) -> Column:
+    """The absolute form of the target ``to`` on the page ``url``; null for a fragment or a scheme without ``://``."""
+    site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    page = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    path, rest = F.regexp_extract(to, r"(?s)^[^?#]*", 0), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(page == "", F.lit("/")).otherwise(F.regexp_extract(page, r"(?s)^(.*/)", 1))
+    whole = F.regexp_replace(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path)), r"(/\.{1,2})$", "$1/")
+    # dot segments go; the first part, before the leading slash, is empty and stays
+    step = lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(F.concat(out, F.array(x)))
+    parts = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step)
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), to))
+        .when(to.startswith("#") | to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(to.startswith("?"), F.concat(site, page, to))
+        .otherwise(F.concat(site, F.array_join(parts, "/"), rest))
+    )
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (a, b) from each url to the targets that its page names."""
+    """Edges (a, b) from each url to all targets that its page names."""
     url, html = F.col(f"`{url_col}`"), F.col(f"`{html_col}`")
     named = pages.filter(url.contains("://") & F.lower(html).rlike("canonical|refresh"))
-    site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    targets = F.array(*[F.regexp_extract(html, x, 1) for x in (_CANONICAL, _REFRESH)])
-    links = named.select(url.alias("a"), site.alias("site"), F.explode(targets).alias("to")).filter("to != ''")
-    return links.select("a", F.when(F.col("to").rlike("^/[^/]"), F.concat("site", "to")).otherwise(F.col("to")).alias("b")).filter(F.col("b").contains("://"))
+    targets = F.concat(*[F.regexp_extract_all(html, F.lit(x), F.lit(1)) for x in (_CANONICAL, _REFRESH)])
+    links = named.select(url.alias("a"), F.explode(targets).alias("to"))
+    links = links.withColumn("to", F.regexp_replace("to", "(?i)&(amp|#38|#x26);", "&"))
+    return links.select("a", resolve(F.col("a"), F.col("to")).alias("b")).filter("b is not null")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:

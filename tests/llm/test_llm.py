@@ -277,6 +277,18 @@ def test_urls_propagate_blocks_and_prefer_allows(spark):
     assert got[1]["host"] == "a.example.com" and got[1]["rule"] == "com/en/" and got[2]["rule"] is None and got[9]["path"] == "/de/8"
 
 
+def test_urls_follow_every_link(spark):
+    page = "http://www.b.org/es/dir/1?q=1"
+    links = ["http://t.test/1?a=1&amp;b=2", "//t.test/2", "/", "x/y", "../up/./z?k=/../1", "?only=q", "#part", "mailto:a@t.test", "https://t.test/3"]
+    want = {"http://t.test/1?a=1&b=2", "http://t.test/2", "http://www.b.org/", "http://www.b.org/es/dir/x/y", "http://www.b.org/es/up/z?k=/../1", "http://www.b.org/es/dir/1?only=q", "https://t.test/3"}
+    html = " ".join(f'<link rel="canonical" href="{x}">' for x in links[:5]) + " ".join(f'<meta http-equiv="refresh" content="0; url={x}">' for x in links[5:])
+    pages = [(1, page, html), (2, "http://t.test", '<link rel=canonical href=sub>'), *[(10 + i, u, "") for i, u in enumerate(sorted(want))]]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    edges = {(r["a"], r["b"]) for r in urls.link_edges(df).collect()}
+    assert edges == {(page, b) for b in want} | {("http://t.test", "http://t.test/sub")}
+    assert {r["verdict"] for r in urls.judge_urls(df).filter("page_id != 2").collect()} == {"block"}
+
+
 # chat
 
 
