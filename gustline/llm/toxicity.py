@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             continue
         seen.add(key)
         (toxic if r["y"] else clean).append(r["text"])
-    if len(toxic) < 5 or len(clean) < 5:
+    if not toxic or not clean:
         return default_scorer()
     toxic.sort()
     clean.sort()

@@ -374,6 +374,16 @@ def test_toxicity_held_out(spark, sf):
     assert g.features(None).sum() == g.features("").sum() == 0
 
 
+def test_toxicity_learns_from_few_labels(spark):
+    few = docs(spark, [(1, "you idiot"), (2, "what an idiot you are"), (3, "a fine day"), (4, "an idiot he is not"), (5, "bread and milk")])
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0), (5, 0)], "doc_id long, toxic int")
+    fixed = toxicity.default_scorer()
+    learned = toxicity.fit(few, labels)
+    assert not np.array_equal(learned.weights, fixed.weights) and learned.score("you idiot") > learned.score("a fine day")
+    for one in ("toxic = 1", "toxic = 0"):
+        assert np.array_equal(toxicity.fit(few, labels.filter(one)).weights, fixed.weights)
+
+
 def test_pipeline_runs_on_whole_table(spark, sf):
     import corpus_pipeline
 
