@@ -3,14 +3,13 @@
 A text's set is its distinct word shingles (64-bit hashes). ``PERMUTATIONS`` minima give ``BANDS`` band keys for
 candidates; of each minimum only the low ``B = 2`` bits are kept, packed into machine words, and the similarity
 of a candidate pair is estimated from bit counts, corrected for the collisions of two bits. Pairs whose estimate
-is ``SLACK`` or more below the threshold are dropped (5 standard errors at the defaults); all others
-are confirmed on the full sets.
+is ``SLACK`` or more below the threshold are dropped; all others are confirmed on the full sets. By the binomial
+tail, a link of similarity 0.8 is dropped so with probability 4e-10, and by the long signatures with 1e-10.
 
 Candidates never grow with the square of a group. Texts with equal sets are one node. In each band bucket every
 member is compared with one pivot, the smallest id; links form connected components; buckets whose members
 all lie in one component are closed. Buckets still open are compared with further random pivots, and what then
-remains open is compared pair by pair across components, without a cap, so that no link within a bucket is
-lost; there the size bound and the estimate are conditions of the join. With 32 bands of 4 minima, two texts with similarity 0.8 share a bucket with probability 1 - 5e-8.
+remains open is compared pair by pair across components, without a cap; there the size bound and the estimate are conditions of the join. With 32 bands of 4 minima, two texts with similarity 0.8 share a bucket with probability 1 - 5e-8.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is kept; a text
 with fewer words than a shingle has one shingle, its whole word sequence; rows that share an id are one
@@ -31,12 +30,12 @@ from pyspark.sql import functions as F
 from gustline.llm.components import connected_components
 from gustline.llm.shared import stash, unstash
 
-PERMUTATIONS, BANDS, B, SLACK = 128, 32, 2, 0.2
+PERMUTATIONS, BANDS, B, SLACK = 128, 32, 2, 0.3
 #: Rounds with random pivots, pivots a bucket, and open pairs a member from which such a round is worth while.
 PIVOT_ROUNDS, PIVOTS, PAIRS_A_MEMBER = 2, 4, 256
 
-#: Signature of members of buckets that stay open, and its slack (5 standard errors).
-FINE_PERMUTATIONS, FINE_SLACK = 1024, 0.075
+#: Signature of members of buckets that stay open, and its slack.
+FINE_PERMUTATIONS, FINE_SLACK = 1024, 0.1
 
 _STEP = 2048
 _rng = np.random.Generator(np.random.PCG64(20240817))

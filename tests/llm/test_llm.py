@@ -1,6 +1,7 @@
 """Operators of the training-data part against brute force, exact round trips, held-out accuracy and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -133,6 +134,15 @@ def test_signature_estimate_is_unbiased():
     assert abs((equal - 0.25) / 0.75 - 1500 / 2500) < 0.06
 
 
+def test_estimates_lose_fewer_links_than_banding():
+    banding = (1 - 0.8**4) ** minhash.BANDS
+    for n, slack in ((minhash.PERMUTATIONS, minhash.SLACK), (minhash.FINE_PERMUTATIONS, minhash.FINE_SLACK)):
+        most = math.floor(n * (0.25 + 0.75 * (0.8 - slack)) + 1e-9)
+        p = 0.25 + 0.75 * 0.8
+        lost = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(most + 1))
+        assert lost < banding / 10
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(300, i) for i in range(301, 360)] + [(400 + i, 401 + i) for i in range(30)]
