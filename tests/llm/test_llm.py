@@ -53,7 +53,7 @@ def test_exact_groups(spark, keep):
 
 
 def test_empty_tables(spark):
-    none = docs(spark, []).filter("false") if False else spark.createDataFrame([], DOC)
+    none = spark.createDataFrame([], DOC)
     bench = spark.createDataFrame([], "item_id long, text string")
     assert exact_dedup.exact_groups(none).count() == 0
     assert exact_dedup.exact_dedup(none).count() == 0
@@ -372,26 +372,77 @@ def test_kneser_ney_sums_to_one():
         assert 0.3 < seen <= 1.0000001
 
 
-def test_toxicity_held_out(spark, sf):
+def naive_best(letters, weights):
+    """All ways through the five machines one after the other."""
+    best = -math.inf
+
+    def walk(at, states, total):
+        nonlocal best
+        if at == len(letters):
+            if all(s in m.finals for s, m in zip(states, toxicity.PARTS)):
+                best = max(best, total)
+            return
+        for states2, out in step(states, letters[at], 0):
+            walk(at + 1, states2, total + weights.get(out, 0.0))
+
+    def step(states, letter, k):
+        if k == len(states):
+            yield (), letter
+            return
+        for y, nxt in toxicity.PARTS[k].arcs[states[k]].get(letter, ()):
+            for rest, out in step(states, y, k + 1):
+                yield (nxt, *rest), out
+
+    for a in toxicity.PARTS[2].starts:
+        walk(0, (0, "free", a, 0, "plain"), 0.0)
+    return best
+
+
+def test_toxicity_machine_equals_naive_path_search():
+    r = random.Random(10)
+    for _ in range(400):
+        letters = [r.choice(toxicity.SYMBOLS) for _ in range(r.randint(0, 9))]
+        weights = {x: r.uniform(-2, 4) for x in toxicity.LETTERS}
+        total, wrote = toxicity.MACHINE.best(letters, weights)
+        assert math.isclose(total, naive_best(letters, weights), abs_tol=1e-9) and math.isclose(total, sum(weights[x] for x in wrote), abs_tol=1e-9)
+
+
+def test_toxicity_clauses():
+    s = toxicity.default_scorer()
+    says = lambda t: [m for _, _, _, m in s.clauses(t)]
+    assert says("an idiot came") == [("m0",)] and says("you idiot") == [("m0t",)] and says("he is not an idiot") == [("m0tn",)]
+    assert says("it said idiot today") == [("m0r",)] and says("not one two three idiot") == [("m0",)] and says("xidiot") == []
+    assert says("we kill time") == [] and says("i will kill you. you sit, we kill time") == [("mkt",), ("mkt",)] and says("burn it. you") == []
+    assert [(a, b) for a, b, _, _ in s.clauses("One two. IDIOTS, all; no")] == [(8, 20)]
+    assert s.score("you idiot") > s.score("an idiot came") > s.score("no idiot") > s.score("a day") == s.score(None) == s.score("")
+
+
+def test_toxicity_held_out_by_class(spark, sf):
     from gustline.llm.queries import op10_toxicity
 
-    sf = sf.replace("sf0.001", "sf0.01")
+    sf = sf.replace("sf0.001", "sf0.1")
     got = op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()
-    assert (got["predicted"] == got["toxic"]).mean() > 0.85
-    g = toxicity.Grammar({"idiot": 1.0})
-    plain, negated, reported, aimed, inner = (g.features(t) for t in ("an idiot came", "he is not an idiot", "it said idiot today", "you idiot", "xidiot"))
-    assert plain[0] > 0 and negated[1] > 0 and reported[2] > 0 and aimed[3] > 0 and inner.sum() == 0
-    assert g.features(None).sum() == g.features("").sum() == 0
+    found = got.groupby("toxic")["predicted"].mean()
+    assert found[1] > 0.85 and found[0] < 0.01 and got["score"].between(0, 1).all()
 
 
-def test_toxicity_learns_from_few_labels(spark):
-    few = docs(spark, [(1, "you idiot"), (2, "what an idiot you are"), (3, "a fine day"), (4, "an idiot he is not"), (5, "bread and milk")])
-    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0), (5, 0)], "doc_id long, toxic int")
+def test_toxicity_learns_from_few_labels_around_its_prior(spark):
+    few = docs(spark, [(1, "you idiot"), (2, "what an idiot you are"), (2, "what an idiot you are"), (3, "a fine day"), (4, "he is not an idiot"), (5, "bread and milk"), (6, None)])
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0), (5, 0), (6, 1), (None, 1)], "doc_id long, toxic int")
     fixed = toxicity.default_scorer()
     learned = toxicity.fit(few, labels)
-    assert not np.array_equal(learned.weights, fixed.weights) and learned.score("you idiot") > learned.score("a fine day")
-    for one in ("toxic = 1", "toxic = 0"):
-        assert np.array_equal(toxicity.fit(few, labels.filter(one)).weights, fixed.weights)
+    assert learned.logistic != fixed.logistic and learned.score("you idiot") > learned.score("a fine day")
+    assert learned.weights["m0t"] > fixed.weights["m0t"] and learned.weights["m0tn"] < learned.weights["m0t"]
+    none = toxicity.fit(few, labels.filter("false"))
+    assert none.logistic == fixed.logistic and np.allclose([none.weights[x] for x in toxicity.LETTERS], [fixed.weights[x] for x in toxicity.LETTERS])
+    one = toxicity.fit(few, labels.filter("toxic = 1"))
+    assert one.score("you idiot") > 0.5
+    long = docs(spark, [(1, None), (2, ""), (3, prose(20000, 1)), (4, "you idiot"), (4, "you idiot"), (None, "x")])
+    got = toxicity.predict(long, fixed).collect()
+    assert len(got) == 6 and [g["score"] for g in got if g["doc_id"] == 4] == [fixed.score("you idiot")] * 2
+    left = toxicity.drop_toxic(long, fixed)
+    assert left.columns == ["doc_id", "text", "sha", "part", "row"] and sorted(x["doc_id"] or 0 for x in left.collect()) == [0, 1, 2, 3]
+    assert [tuple(x) for x in toxicity.matched_clauses(long, fixed).select("doc_id", "start", "end").collect()] == [(4, 0, 9)] * 2
 
 
 def test_pipeline_runs_on_whole_table(spark, sf):
