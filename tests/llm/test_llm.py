@@ -11,6 +11,7 @@ import pytest
 from gustline.llm import bpe, chat, components, decontaminate, exact_dedup, langid, minhash, pii, sharding, toxicity, urls
 
 DOC = "doc_id long, text string, sha string, part int, row string"  # extra columns with clashing names
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
 
@@ -33,23 +34,52 @@ def rows_of(df, key="doc_id"):
 # exact dedup
 
 
-@pytest.mark.parametrize("keep", ["max", "min"])
-def test_exact_groups(spark, keep):
-    r = random.Random(2)
-    data = [*EDGES, *[(100 + i, r.choice(["HOT text", "hot TEXT", "x%d" % (i % 7)])) for i in range(300)]]
+def lowered(t):
+    return (t or "").translate(str.maketrans(UPPER, UPPER.lower()))
+
+
+def check_exact(spark, data, keep):
     got = exact_dedup.exact_groups(docs(spark, data), keep=keep).collect()
     groups = {}
     for i, t in data:
-        groups.setdefault(exact_dedup.normalise(t), []).append(i)
+        groups.setdefault(lowered(t), []).append(i)
+    by_sha = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
     assert len(got) == len(data)
     for g in got:
-        ids = next(v for k, v in groups.items() if hashlib.sha256(k).hexdigest() == g["text_sha256"])
-        best = max(ids) if keep == "max" else min(ids)
+        ids = by_sha[g["text_sha256"]]
+        known = [i for i in ids if i is not None]
+        best = None if not known else max(known) if keep == "max" else min(known)
         assert (g["keep_id"], g["group_size"]) == (best, len(ids)) and (not g["kept"] or g["doc_id"] == best)
     assert sum(g["kept"] for g in got) == len(groups)
     left = exact_dedup.exact_dedup(docs(spark, data), keep=keep)
     assert left.columns == ["doc_id", "text", "sha", "part", "row"]
-    assert sorted(x["doc_id"] for x in left.collect()) == sorted((max if keep == "max" else min)(v) for v in groups.values())
+    left = left.collect()
+    assert sorted(lowered(x["text"]) for x in left) == sorted(groups)
+    assert all(x["doc_id"] in groups[lowered(x["text"])] for x in left)
+
+
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_exact_groups(spark, keep):
+    r = random.Random(2)
+    check_exact(spark, [*EDGES, (None, "one"), (None, "no id"), *[(100 + i, r.choice(["HOT text", "hot TEXT", "x%d" % (i % 7)])) for i in range(300)]], keep)
+
+
+@pytest.mark.parametrize("keep, most", [("max", 10**6), ("min", 10**6), ("max", 0), ("min", 300)])
+def test_exact_groups_deal_hot_and_alike_texts_over_ranges(spark, monkeypatch, keep, most):
+    monkeypatch.setattr(exact_dedup, "SAMPLE_A_RANGE", 5)
+    monkeypatch.setattr(exact_dedup, "MOST_CHARS", most)
+    r = random.Random(3)
+    start = "the same beginning " * 40
+    texts = ["hot", "HOT", "Hot", start + "a", start.upper() + "A", start, start + "b\U0001f642", start + "b\uffff", "\U0001f642", ""]
+    data = [((1 << 60) + i if i % 9 else None, texts[0] if i % 3 == 0 else r.choice(texts)) for i in range(400)]
+    rows = docs(spark, data).select("doc_id", "text")
+    cuts = exact_dedup.splitters(rows, 8, keep)
+    assert cuts == sorted(cuts) and len(cuts) <= 20 and sum(len(t) for t, _ in cuts) <= most
+    if most == 10**6:
+        placed, ranges = exact_dedup._placed(rows, "doc_id", "text", keep, False)
+        seen = {(x["hot"], x["p"]) for x in placed.select("hot", "p").distinct().collect()}
+        assert ranges > 2 and len([p for h, p in seen if h == 0]) > 1
+    check_exact(spark, data, keep)
 
 
 def test_empty_tables(spark):
