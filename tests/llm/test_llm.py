@@ -273,7 +273,11 @@ def test_pii_field_adds_what_patterns_miss(spark):
 # decontamination
 
 
-def test_contamination_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast, most_bits", [(250_000, 24), (0, 24), (250_000, 7), (0, 7)])
+def test_contamination_equals_brute_force(spark, monkeypatch, broadcast, most_bits):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", min(10, most_bits))
+    monkeypatch.setattr(decontaminate, "MOST_BITS", most_bits)
     words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
     bench = [(1, prose(30, 11)), (2, "short item"), (3, None), (4, "..."), (10, prose(13, 12)), (11, prose(30, 11))]
     data = [*EDGES, (20, "Before, " + prose(30, 11).upper() + " after"), (21, "a short   ITEM, twice: short item"), (22, " ".join(prose(30, 11).split()[:13])), (23, " ".join(prose(30, 11).split()[:12])), (24, prose(900, 13) + " short item")]
@@ -297,6 +301,15 @@ def test_contamination_equals_brute_force(spark):
     assert len(got[5]) == 2
     left = decontaminate.drop_contaminated(docs(spark, data), spark.createDataFrame(bench, "item_id long, text string"))
     assert {20, 21, 22} & {r["doc_id"] for r in left.collect()} == set() and left.columns[0] == "doc_id"
+    if broadcast and most_bits == 24:
+        whole = spark.createDataFrame(bench, "item_id long, text string")
+        cut = decontaminate.remove_spans(docs(spark, [*data, (30, "Keep (this): SHORT, item! Short? end.. ")]), whole)
+        assert cut.columns == ["doc_id", "text", "sha", "part", "row"]
+        cut = {r["doc_id"]: r["text"] for r in cut.collect()}
+        assert cut[30] == "Keep (this! Short? end.. " and cut[1] is None and cut[6] == prose(3000, 1) and cut[20] == "Before after" and cut[22] == ""
+        assert cut[24] == prose(900, 13)
+        none = decontaminate.contamination(docs(spark, data), whole.filter("false")).collect()
+        assert len(none) == len(data) and not any(r["n_hit"] or r["contaminated"] for r in none)
 
 
 # urls
