@@ -107,17 +107,32 @@ from d left join c using (doc_id) left join i using (doc_id)""",
     "op8_url_filter": r"""
 with recursive r(rule, host, path, verdict) as (values ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
   ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
-link as (select url as a, nullif(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '') as b from pages where url like '%://%'),
-e as (select a, b from link where b like '%://%' and a <> b),
-u as (select url from pages union select a from e union select b from e),
-p as (select url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-      coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from u),
+tag as (select url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) as t, true as canonical from pages where url like '%://%'
+  union all select url, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')), false from pages where url like '%://%'),
+raw as (select url, regexp_replace(case
+    when canonical and regexp_matches(t, '(?is)\srel\s*=\s*["'']?\s*([a-z-]+\s+)*canonical\b') then regexp_extract(t, '(?is)\shref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+    when not canonical and regexp_matches(t, '(?is)\shttp-equiv\s*=\s*["'']?\s*refresh\b') then regexp_extract(t, '(?is)\scontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+    else '' end, '&(amp|#38|#x26);', '&', 'gi') as t from tag),
+split as (select url, t, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) as site, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as page,
+  regexp_extract(t, '(?s)^[^?#]*', 0) as path, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) as rest from raw where t <> ''),
+whole as (select *, string_split(regexp_replace(case when starts_with(path, '/') then path else (case when page = '' then '/' else regexp_extract(page, '(?s)^(.*/)', 1) end) || path end, '(/\.{1,2})$', '\1/'), '/') as parts from split),
+target as (select url as a, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t
+    when starts_with(t, '//') then regexp_extract(url, '(?s)^(.*?:)//', 1) || t
+    when starts_with(t, '#') or regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
+    when starts_with(t, '?') then site || page || t
+    else site || list_reduce(list_prepend('', parts[2:]), lambda o, x: case when x = '.' then o when x = '..' then regexp_replace(o, '/[^/]*$', '') else o || '/' || x end) || rest end as b from whole),
+known as (select distinct url from (select url from pages union all select a from target union all select b from target) where url like '%://%'),
+normal as (select url, translate(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+  || coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*([^#]*)', 1) as n from known),
+e as (select distinct x.n as a, y.n as b from target join normal x on x.url = a join normal y on y.url = b where x.n <> y.n),
+p as (select distinct url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+      coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from (select url from pages union all select a from e union all select b from e)),
 own as (select p.url, any_value(p.host) as host, any_value(p.path) as path, arg_max(r.rule, length(r.rule)) as rule, arg_max(r.verdict, length(r.rule)) as verdict
   from p left join r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by p.url),
 reach as (select a, a as b from (select a from e union select b from e) union select x.a, case when e.a = x.b then e.b else e.a end from reach x join e on e.a = x.b or e.b = x.b),
-carried as (select x.a as url from reach x join own on own.url = x.b group by x.a having bool_or(coalesce(own.verdict, '') = 'block') and not bool_or(coalesce(own.verdict, '') = 'allow'))
-select pages.page_id, own.host, own.path, own.rule, coalesce(own.verdict, case when carried.url is not null then 'block' else 'allow' end) as verdict
-from pages join own on own.url is not distinct from pages.url left join carried on carried.url = pages.url""",
+carried as (select x.a as n from reach x join own on own.url = x.b group by x.a having bool_or(coalesce(own.verdict, '') = 'block') and not bool_or(coalesce(own.verdict, '') = 'allow'))
+select pages.page_id, own.host, own.path, own.rule, coalesce(own.verdict, case when carried.n is not null then 'block' else 'allow' end) as verdict
+from pages join own on own.url is not distinct from pages.url left join normal on normal.url = pages.url left join carried on carried.n = normal.n""",
     "op9_chat_format": r"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),

@@ -338,10 +338,113 @@ def test_urls_follow_every_link(spark):
     pages = [(1, page, html), (2, "http://t.test", '<link rel=canonical href=sub>'), *[(10 + i, u, "") for i, u in enumerate(sorted(want))]]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     edges = {(r["a"], r["b"]) for r in urls.link_edges(df).collect()}
-    assert edges == {(page, b) for b in want} | {("http://t.test", "http://t.test/sub")}
+    assert edges == {(page, b) for b in want} | {("http://t.test/", "http://t.test/sub")}
     assert {r["verdict"] for r in urls.judge_urls(df).filter("page_id != 2").collect()} == {"block"}
 
 
+URL_ROWS = "page_id long, url string, html string, host string, a string, b string"  # clashing names
+
+
+def url_pages(seed=12, n=500):
+    """Pages in chains, hubs and loose ends, linked in many spellings."""
+    r = random.Random(seed)
+    sites = ["http://example.com", "http://Sub.Example.com", "HTTPS://example.net", "http://a.org", "http://b.test", "http://c.test:80", "http://d.test"]
+    paths = ["/en/%d", "/en/7%d", "/de/%d", "/de/8%d", "/es/%d", "", *["/x/y/%d", "/x/%d?q=1&r=2", "/z/%d", "/%d/"] * 4]
+    urls = [r.choice(sites) + (p % i if "%d" in (p := r.choice(paths)) else p) for i in range(n)]
+    rows = []
+    for i, u in enumerate(urls):
+        tags = []
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            to = urls[r.choice([i - i % 10, i - i % 10 + r.randrange(10), i])]
+            scheme, rest = to.split("://")
+            host = rest.split("/")[0]
+            own = u.split("://")[0].lower() + "://" + u.split("://")[1].split("/")[0].lower()
+            spell = [to, to.replace("&", "&amp;"), scheme.upper() + "://" + host.upper() + rest[len(host) :], to + "#part", "#top", "mailto:x@y.z", "sub/../other", "./s?k=1", "..", "?z=2"]
+            if scheme.lower() == u.split("://")[0].lower():
+                spell.append("//" + rest)
+            if own == scheme.lower() + "://" + host.lower() and "/" in rest:
+                spell.append(rest[len(host) :])
+            x = r.choice(spell[:3] * 3 + spell)
+            tags.append(r.choice(['<link rel="canonical" href="{}">', "<LINK href='{}' class=x rel=Canonical />", '<link rel="next canonical" href={} >', '<meta http-equiv="refresh" content="0; url={}">', "<meta content='5;URL={}' http-equiv=Refresh>", '<link rel="stylesheet" href="{}">', '<a rel="canonical" href="{}">']).format(x))
+        rows.append((i, u, None if r.random() < 0.02 else "<html>" + "\n".join(tags) + "</html>", "h", "a", "b"))
+    return [*rows, (n, None, '<link rel="canonical" href="http://a.org/es/1">', "h", "a", "b"), (n + 1, "no scheme", "", "h", "a", "b"), rows[3], (3, urls[4], "", "h", "a", "b")]
+
+
+def brute_urls(rows):
+    from urllib.parse import urljoin, urlsplit
+
+    def norm(u):
+        if u is None or "://" not in u:
+            return None
+        p = urlsplit(u)
+        return p.scheme.lower() + "://" + p.netloc.lower() + (p.path or "/") + ("?" + p.query if p.query else "")
+
+    def own(u):
+        if u is None or "://" not in u:
+            return "", "", None
+        host, path = urlsplit(u).netloc.lower(), urlsplit(u).path
+        fits = [(len(h + p), v == "allow", h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, max(fits, default=None)
+
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for _, u, html, *_ in rows:
+        if norm(u) is None:
+            continue
+        for tag in re.findall(r"<(?:link|meta)[^>]*>", html or "", re.I):
+            m = re.search(r"url=([^'\">]+)" if "refresh" in tag.lower() else r"href=['\"]?([^'\" >]+)", tag, re.I)
+            if "stylesheet" in tag or m[1].startswith(("#", "mailto:")):
+                continue
+            root[find(norm(urljoin(u.split("://")[0].lower() + "://" + u.split("://")[1], m[1].replace("&amp;", "&"))))] = find(norm(u))
+    state = {}
+    for x in list(root):
+        if (best := own(x)[2]) is not None:
+            state.setdefault(find(x), set()).add(best[3])
+    out = []
+    for i, u, *_ in rows:
+        host, path, best = own(u)
+        carried = norm(u) in root and state.get(find(norm(u))) == {"block"}
+        out.append((i, host, path, best and best[2], best[3] if best else "block" if carried else "allow"))
+    return out
+
+
+def test_urls_equal_brute_force_and_sql(spark):
+    import duckdb
+
+    from gustline.llm.queries import ORACLES
+
+    rows = url_pages()
+    want = sorted(map(str, brute_urls(rows)))
+    got = urls.judge_urls(spark.createDataFrame(rows, URL_ROWS).repartition(7))
+    got = sorted(str(tuple(r)) for r in got.select("page_id", "host", "path", "rule", "verdict").collect())
+    assert got == want
+    alone = sorted(map(str, brute_urls([(i, u, "", *x) for i, u, _, *x in rows])))
+    assert sum(a != b for a, b in zip(alone, want)) > 8  # the links matter
+    con = duckdb.connect()
+    import pandas as pd
+
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html", "host", "a", "b"])[["page_id", "url", "html"]]  # noqa: F841
+    con.sql("create table pages as select * from pages")
+    assert sorted(map(str, con.sql(ORACLES["op8_url_filter"]).fetchall())) == want
+
+
+def test_urls_long_page_and_rule_ties(spark):
+    html = "<p>" + "x" * 500_000 + '<link rel="canonical" href="/far">' + "y" * 500_000
+    pages = [(1, "http://h.test/a", html), (2, "http://h.test/far", "")]
+    rules = (("block", "h.test", "/far"), ("allow", "test", "/zzzzz"))
+    got = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "block"}
+    tie = (("block", "h.test", "/a"), ("allow", "test", "/aaa"), ("allow", "h.test", "/a"))
+    got = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), tie).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "allow", 2: "allow"}
+
+
 # chat
 
 
