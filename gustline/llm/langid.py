@@ -1,17 +1,20 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-One model of order ``ORDER`` per language. Its n-grams are 64-bit hashes (four 16-bit letters, so exact within
-the basic plane) in sorted arrays, searched by bisection. A text's language is the model with the lowest
-cross-entropy per letter over the whole text; a second decision, calibrated on rows that the fit left out,
-says whether even the best model is too far off to be believed (column ``rejected``).
+One model of order ``ORDER`` per language. Its n-grams are 64-bit hashes (four 16-bit letters: exact within the basic
+plane, letters beyond it by their block of 32) in sorted arrays, searched by bisection. A text's language is the model
+with the lowest cross-entropy per letter over the whole text. A second decision rejects texts that even the best
+model does not know: its cross-entropy lies above a limit, the language's mean plus a margin that shrinks with the root of the text's
+length, calibrated on rows that the fit left out so that ``REJECT_SHARE`` of a language's own texts are rejected. A rejected
+text is ``und`` with score 0; the best language is told beside it. The score of others is the softmax of the models' log-likelihoods over at
+most ``EVIDENCE_LETTERS`` letters' worth of evidence, with a calibrated sharpness.
 
 The fit reads a bounded sample of labelled rows: of each language the share of ids with the lowest checksums that
 makes ``SAMPLE_PER_LANGUAGE`` expected rows, one row an id; whole texts are read and scored. Each model is
 therefore of bounded size, which is what is sent to the executors.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; without labelled rows every
-text is ``und``; languages with equal cross-entropy are taken in alphabetical order; repeated rows are scored
-one by one; an empty table gives an empty result; further columns are not read.
+Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is its best language; without labelled rows every
+text is ``und``; languages with equal cross-entropy are taken in alphabetical order; without rows set aside nothing is rejected;
+repeated rows are scored one by one; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,16 +31,17 @@ from pyspark.sql import functions as F
 ORDER = 4
 SAMPLE_PER_LANGUAGE = 1000
 CALIBRATION_SHARE = 5
-#: Own-language quantile of the cross-entropy beyond which a text is rejected, and slack on it (nats a letter).
-REJECT_QUANTILE, REJECT_SLACK = 0.995, 0.5
+#: Share of a language's own texts that its limit rejects, and letters of evidence that a score counts at most.
+REJECT_SHARE, EVIDENCE_LETTERS = 0.002, 40
 
 _U16 = np.uint64(16)
 
 
 def letters_of(text: str) -> np.ndarray:
-    """Lower-cased 16-bit letters with three boundary marks in front; letters beyond the basic plane fold to one."""
+    """Lower-cased 16-bit letters with three boundary marks in front; those beyond the basic plane share one of the
+    private-use letters by blocks of 32."""
     raw = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    raw = np.where(raw > 0xFFFF, 0xFFFD, raw)
+    raw = np.where(raw > 0xFFFF, 0xE000 + (raw >> 5) % 6400, raw)
     return np.concatenate([np.full(ORDER - 1, 2, np.uint64), raw.astype(np.uint64)])
 
 
@@ -101,7 +105,7 @@ class LanguageModels:
         self.models = [KneserNey(*counts[x], max(len(letters), 1) + 1) for x in self.langs]
         self.codes = np.unique(np.concatenate([c for c, _ in counts.values()])) if counts else np.empty(0, np.uint64)
         self.logs = self._log(self.codes)
-        self.limit = {x: np.inf for x in self.langs}
+        self.limit = {x: (0.0, np.inf) for x in self.langs}  # mean, and margin at one letter
         self.sharpness = 1.0
 
     def _log(self, codes: np.ndarray) -> np.ndarray:
@@ -116,15 +120,22 @@ class LanguageModels:
             total = total + counts[~seen] @ self._log(codes[~seen])
         return -total / counts.sum()
 
-    def judge(self, text: str | None) -> tuple[str, float, float, bool]:
-        """(language, score, cross-entropy, rejected)."""
+    def known(self, lang: str, entropy: float, letters: int) -> bool:
+        """Whether a text of so many letters may be of the language at this cross-entropy."""
+        mean, margin = self.limit[lang]
+        return entropy <= mean + margin / max(letters, 1) ** 0.5
+
+    def judge(self, text: str | None) -> tuple[str, float, float, bool, str]:
+        """(language, score, cross-entropy, rejected, best language)."""
         if not self.langs or text is None or not has_letter(text):
-            return "und", 0.0, 0.0, False
+            return "und", 0.0, 0.0, False, "und"
         h = self.entropies(*grams_of(text))
         best = int(np.argmin(h))
-        # evidence grows with length, up to a sentence's worth
-        w = np.exp(-(h - h[best]) * self.sharpness * min(len(text), 40))
-        return self.langs[best], float(1 / w.sum()), float(h[best]), bool(h[best] > self.limit[self.langs[best]])
+        lang, entropy = self.langs[best], float(h[best])
+        if not self.known(lang, entropy, len(text)):
+            return "und", 0.0, entropy, True, lang
+        w = np.exp(-(h - h[best]) * self.sharpness * min(len(text), EVIDENCE_LETTERS))
+        return lang, float(1 / w.sum()), entropy, False, lang
 
 
 def has_letter(text: str) -> bool:
@@ -134,17 +145,19 @@ def has_letter(text: str) -> bool:
 def calibrate(models: LanguageModels, rows: list[tuple[str, np.ndarray, np.ndarray, int]]) -> None:
     """Set rejection limits and the sharpness of scores from (language, n-grams, counts, length) of rows that
     the fit left out."""
-    own: dict[str, list[float]] = {x: [] for x in models.langs}
+    own: dict[str, list[tuple[float, int]]] = {x: [] for x in models.langs}
     gaps = []
     for lang, codes, counts, length in rows:
         if lang in own and len(codes):
             h = models.entropies(codes, counts)
             k = models.langs.index(lang)
-            own[lang].append(float(h[k]))
-            gaps.append(((h - h[k]) * min(length, 40), k))
-    for lang, hs in own.items():
-        if hs:
-            models.limit[lang] = float(np.quantile(hs, REJECT_QUANTILE)) + REJECT_SLACK
+            own[lang].append((float(h[k]), length))
+            gaps.append(((h - h[k]) * min(length, EVIDENCE_LETTERS), k))
+    for lang, found in own.items():
+        if found:
+            h, n = (np.array(x, float) for x in zip(*found))
+            mean = float(np.median(h))
+            models.limit[lang] = mean, float(max(np.quantile((h - mean) * np.sqrt(n), 1 - REJECT_SHARE, method="higher"), 0.0))
     if gaps:
         grid = [0.1, 0.2, 0.4, 0.7, 1.0, 1.5, 2.0]
         loss = [sum(float(np.log(np.exp(-np.clip(g * s, -50, 50)).sum())) for g, _ in gaps) for s in grid]
@@ -212,17 +225,17 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def predict(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, entropy, rejected of every row."""
+    """doc_id, lang_pred, score, entropy, rejected, best (the language that the lowest cross-entropy names, rejected or not) of
+    every row."""
     sent = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample of the fit
+    kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
             got = [m.judge(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64()), pa.array([g[3] for g in got], pa.bool_())],
-                ["doc_id", "lang_pred", "score", "entropy", "rejected"],
-            )
+            columns = [pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "lang_pred", "score", "entropy", "rejected", "best"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean, best string")

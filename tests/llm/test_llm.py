@@ -211,6 +211,35 @@ def test_shards_are_even_and_computable(spark):
     assert sorted(map(tuple, got[cols].to_numpy())) == sorted(map(tuple, again[cols].to_numpy()))
 
 
+def test_sharding_equals_plain_python(spark):
+    import zlib
+
+    def walk(row, n, keys):
+        half = 1
+        while 4**half < n:
+            half += 1
+        x = row
+        while True:
+            left, right = x >> half, x % 2**half
+            for k in keys:
+                y = ((right ^ k) * 0x9E3779B97F4A7C15) % 2**64
+                y ^= y >> 29
+                y = (y * 0xBF58476D1CE4E5B9) % 2**64
+                y ^= y >> 32
+                left, right = right, left ^ (y % 2**half)
+            x = left * 2**half + right
+            if x < n:
+                return x
+
+    r = random.Random(13)
+    data = [(r.choice([None, -5, i, i]), r.choice([None, "", "é", prose(i % 30, i)])) for i in range(333)] + [(400, prose(30000, 1)), (401, "x"), (401, "x")]
+    n, keys = len(data), sharding._keys(7)
+    figures = sorted(((i is not None, i or 0), zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for i, t in data)
+    want = sorted(((known, i), size, crc, k, walk(k, n, keys) % 24, walk(k, n, keys) // 24) for k, ((known, i), crc, size) in enumerate(figures))
+    got = sharding.shard_rows(docs(spark, data), 24, 7).collect()
+    assert sorted(((g["doc_id"] is not None, g["doc_id"] or 0), g["size"], g["text_crc32"], g["row_number"], g["shard"], g["slot"]) for g in got) == want
+
+
 # BPE
 
 
@@ -492,7 +521,7 @@ def test_chat_examples_hold_their_whole_context(spark, monkeypatch, piece):
     f.unpersist()
 
 
-# language and toxicity, on rows that the fits never saw
+# language, on rows that the fits never saw
 
 
 def test_language_held_out_accuracy(spark, sf):
@@ -505,17 +534,48 @@ def test_language_held_out_accuracy(spark, sf):
     # und only without letters
     models = langid.LanguageModels({"xx": langid.grams_of("abc abd")})
     assert models.judge(None)[0] == models.judge("12 34")[0] == models.judge("")[0] == "und" and models.judge("abc")[0] == "xx"
+    assert 0 < out["rejected"].mean() < 0.05 and (out["score"][out["rejected"]] == 0).all()
+
+
+def test_language_rejects_what_no_model_knows(spark, sf):
+    rows = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").filter("length(text) > 200")
+    models = langid.fit(rows.filter("lang in ('en', 'de')"))
+    got = langid.predict(rows, models).join(rows.select("doc_id", "lang"), "doc_id").toPandas()
+    known = got["lang"].isin(["en", "de"])
+    assert got["rejected"][known].mean() < 0.03 and got["rejected"][~known].mean() > 0.95
+    assert (got["lang_pred"][got["rejected"]] == "und").all() and set(got["best"]) == {"en", "de"}
+
+
+def test_language_edges(spark):
+    r = random.Random(11)
+    alphabet = {"aa": "abcdefg ", "bb": "uvwxyz ", "gothic": "".join(map(chr, range(0x10330, 0x10340))) + " ", "deseret": "".join(map(chr, range(0x10428, 0x10440))) + " "}
+    said = lambda x, n: "".join(r.choice(alphabet[x]) for _ in range(n))
+    learn = [(i, said(x, 60), x, 1, "r") for i, x in enumerate(list(alphabet) * 30)]
+    learn += learn[:4] + [(999, None, "aa", 1, "r"), (998, "abc", None, 1, "r"), (None, "abc", "bb", 1, "r")]
+    kinds = "doc_id long, text string, lang string, score int, entropy string"  # clashing names
+    models = langid.fit(spark.createDataFrame(learn, kinds))
+    assert models.langs == sorted(alphabet)
+    ask = [(1, said("gothic", 50), "x", 1, ""), (2, said("deseret", 50), "x", 1, ""), (3, None, "x", 1, ""), (4, "", "x", 1, ""), (5, "12 !", "x", 1, ""), (6, said("aa", 200_000), "x", 1, ""), (6, said("bb", 9), "x", 1, "")]
+    got = langid.predict(spark.createDataFrame(ask, kinds), models).collect()
+    assert sorted((g["doc_id"], g["best"]) for g in got) == [(1, "gothic"), (2, "deseret"), (3, "und"), (4, "und"), (5, "und"), (6, "aa"), (6, "bb")]
+    twins = langid.LanguageModels({x: langid.grams_of("abc abd") for x in ("zz", "yy")})
+    assert twins.judge("abc")[4] == "yy"
 
 
 def test_kneser_ney_sums_to_one():
-    m = langid.KneserNey(*langid.grams_of("the cat sat on the mat the cat ran"), alphabet=30)
-    letters = np.unique(langid.letters_of("the cat sat on the mat the cat ran"))
-    for context in ("the", "at ", "zzz"):
+    text = "the cat sat on the mat the cat ran"
+    letters = np.unique(langid.letters_of(text))
+    alphabet = len(letters) + 20  # twenty letters that the text does not have
+    m = langid.KneserNey(*langid.grams_of(text), alphabet=alphabet)
+    every = np.concatenate([letters, np.arange(0x4E00, 0x4E00 + 20).astype(np.uint64)])
+    for context in ("the", "at ", "zzz", "e c", "  t"):
         code = np.uint64(0)
         for c in context:
             code = (code << np.uint64(16)) | np.uint64(ord(c))
-        seen = m.prob((code << np.uint64(16)) | letters).sum()
-        assert 0.3 < seen <= 1.0000001
+        assert math.isclose(m.prob((code << np.uint64(16)) | every).sum(), 1.0, abs_tol=1e-9)
+
+
+# toxicity
 
 
 def naive_best(letters, weights):
