@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's cache of chunks and words, which is emptied when full, and the longest chunk it takes.
+#: Entries of a worker's cache of chunks and words, which is emptied when full, and the longest chunk it takes. Results of
+#: the pair-compatibility table that a worker remembers; others are worked out again. Both bound memory only.
 CACHE_WORDS = 400_000
 CACHE_LETTERS = 48
+CACHE_PAIRS = 2_000_000
 
 
 _CONTROLS = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
@@ -65,6 +67,7 @@ class BacktrackingBpe:
         for name, i in self.special.items():
             self.names[i] = name
         self._special_re = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self._special_first = sorted({x[0] for x in self.special})
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._split = regex.compile(pattern)
         self._spaces = regex.compile(r"\s+")
@@ -147,7 +150,7 @@ class BacktrackingBpe:
             else:
                 limit = up_right + 1 if up_right >= 0 else limit
                 right = self._halves[right][0]
-        if len(self._compatible) < 2_000_000:
+        if len(self._compatible) < CACHE_PAIRS:
             self._compatible[a, b] = ok
         return ok
 
@@ -227,7 +230,7 @@ class BacktrackingBpe:
         if not text:
             return out
         at = 0
-        if self._special_re is not None and "<" in text:
+        if self._special_re is not None and any(c in text for c in self._special_first):
             for m in self._special_re.finditer(text):
                 self._encode_plain(text[at : m.start()], out)
                 out.append(self.special[m[0]])

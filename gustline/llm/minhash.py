@@ -9,7 +9,10 @@ tail, a link of similarity 0.8 is dropped so with probability 4e-10, and by the
 Candidates never grow with the square of a group. Texts with equal sets are one node. In each band bucket every
 member is compared with one pivot, the smallest id; links form connected components; buckets whose members
 all lie in one component are closed. Buckets still open are compared with further random pivots, and what then
-remains open is compared pair by pair across components, without a cap; there the size bound and the estimate are conditions of the join. With 32 bands of 4 minima, two texts with similarity 0.8 share a bucket with probability 1 - 5e-8.
+remains open is compared pair by pair across components, without a cap; there the size bound and the estimate are conditions of the join.
+That last step is quadratic in what stays open (a bucket full of texts that are alike but not linked: every one of its pairs has to be told
+from a link), with 64 machine words a comparison; the number of its pairs is logged, and the adaptive skew join splits such a bucket over tasks. PAIRS_A_MEMBER chooses
+by that number between further pivots and this step: a choice of plan, the links are the same. With 32 bands of 4 minima, two texts with similarity 0.8 share a bucket with probability 1 - 5e-8.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is kept; a text
 with fewer words than a shingle has one shingle, its whole word sequence; rows that share an id are one
@@ -19,6 +22,7 @@ result; further columns are not read.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -37,6 +41,7 @@ PIVOT_ROUNDS, PIVOTS, PAIRS_A_MEMBER = 2, 4, 256
 #: Signature of members of buckets that stay open, and its slack.
 FINE_PERMUTATIONS, FINE_SLACK = 1024, 0.1
 
+_log = logging.getLogger(__name__)
 _STEP = 2048
 _rng = np.random.Generator(np.random.PCG64(20240817))
 _A = _rng.integers(1, 1 << 32, FINE_PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -188,6 +193,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
         n_members, n_pairs = _open_size(opened)
         if not n_pairs:
             break
+        _log.info("open buckets, round %d: %d members, %d pairs across components", turn, n_members, n_pairs)
         last = turn == PIVOT_ROUNDS or n_pairs <= PAIRS_A_MEMBER * n_members
         pairs = _open_pairs(opened, nodes, sets, limit) if last else _pivot_pairs(opened, bits, limit, turn)
         links = stash(links.unionByName(_confirm(pairs.distinct(), sets, limit)))  # the joins that made them hold the bounds
