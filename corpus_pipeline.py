@@ -2,6 +2,10 @@
 
 Each stage gets what its predecessor kept, written as Parquet and read again. All but the last return the
 columns of documents.
+
+Defined results: a null text is empty to every stage, so of all null and empty texts the smallest id stays; texts
+without words are near no other and hit by no benchmark window; rows that share an id go through the copies' stages as
+rows, and go or stay together in near-dedup and decontamination; an empty table gives an empty result.
 """
 
 from __future__ import annotations
