@@ -4,7 +4,7 @@ A text's set is its distinct word shingles (64-bit hashes). ``PERMUTATIONS`` min
 candidates; of each minimum only the low ``B = 2`` bits are kept, packed into machine words, and the similarity
 of a candidate pair is estimated from bit counts, corrected for the collisions of two bits. Pairs whose estimate
 is ``SLACK`` or more below the threshold are dropped; all others are confirmed on the full sets. By the binomial
-tail, a link of similarity 0.8 is dropped so with probability 4e-10, and by the long signatures with 1e-10.
+tail, a link of similarity 0.8 is dropped so with probability 4e-10, and by the long signatures with less than 1e-9.
 
 Candidates never grow with the square of a group. Texts with equal sets are one node. In each band bucket every
 member is compared with one pivot, the smallest id; links form connected components; buckets whose members
@@ -38,8 +38,10 @@ PERMUTATIONS, BANDS, B, SLACK = 128, 32, 2, 0.3
 #: Rounds with random pivots, pivots a bucket, and open pairs a member from which such a round is worth while.
 PIVOT_ROUNDS, PIVOTS, PAIRS_A_MEMBER = 2, 4, 256
 
-#: Signature of members of buckets that stay open, and its slack.
-FINE_PERMUTATIONS, FINE_SLACK = 1024, 0.1
+#: Signature of members of buckets that stay open, and its slack; its first positions are compared first, with a slack that is as many
+#: standard errors wide.
+FINE_PERMUTATIONS, FINE_SLACK = 4096, 0.05
+FIRST_PERMUTATIONS, FIRST_SLACK = 1024, 0.1
 
 _log = logging.getLogger(__name__)
 _STEP = 2048
@@ -101,19 +103,22 @@ def pack(m: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def estimate(a: Column, b: Column, permutations: int = PERMUTATIONS) -> Column:
-    """Similarity from packed signatures: the share of equal positions, corrected for chance collisions."""
-    per = permutations // 64
-    differ = sum((F.bit_count(_any_plane(a, b, w, per)) for w in range(per)), F.lit(0))
-    equal = 1 - differ / F.lit(permutations)
+def estimate(a: Column, b: Column, permutations: int = PERMUTATIONS, first: int | None = None) -> Column:
+    """Similarity from packed signatures: the share of equal positions (of the ``first`` ones), corrected for chance collisions."""
+    per, words = permutations // 64, (first or permutations) // 64
+    if words <= 16:
+        differ = sum((F.bit_count(_any_plane(a, b, F.lit(w), per)) for w in range(words)), F.lit(0))
+    else:  # a loop: written out, the condition would outgrow what the JVM compiles
+        differ = F.aggregate(F.sequence(F.lit(0), F.lit(words - 1)), F.lit(0), lambda n, w: n + F.bit_count(_any_plane(a, b, w, per)))
+    equal = 1 - differ / F.lit(64 * words)
     chance = 2.0**-B
     return (equal - chance) / (1 - chance)
 
 
-def _any_plane(a: Column, b: Column, w: int, per: int) -> Column:
-    out = F.get(a, F.lit(w)).bitwiseXOR(F.get(b, F.lit(w)))
+def _any_plane(a: Column, b: Column, w: Column, per: int) -> Column:
+    out = F.get(a, w).bitwiseXOR(F.get(b, w))
     for p in range(1, B):
-        out = out.bitwiseOR(F.get(a, F.lit(p * per + w)).bitwiseXOR(F.get(b, F.lit(p * per + w))))
+        out = out.bitwiseOR(F.get(a, w + p * per).bitwiseXOR(F.get(b, w + p * per)))
     return out
 
 
@@ -243,13 +248,15 @@ def _open_pairs(opened: DataFrame, nodes: DataFrame, sets: DataFrame, threshold:
     """All pairs across components within open buckets that may reach the threshold, each from the first bucket
     that both are in. Long signatures are made for these members only, and the bounds are conditions of the join
     itself: pairs that fail them are never rows."""
-    fine = _fine(sets.join(opened.select("id").distinct(), "id", "left_semi"))
-    full = opened.join(nodes.select("id", "n", "bits", "bands").join(fine.withColumnRenamed("bits", "fine"), "id"), "id")
+    long = _fine(sets.join(opened.select("id").distinct(), "id", "left_semi"))
+    full = opened.join(nodes.select("id", "n", "bits", "bands").join(long.withColumnRenamed("bits", "fine"), "id"), "id")
     x, y = full.alias("x"), full.alias("y")
     coarse = estimate(F.col("x.bits"), F.col("y.bits")) > float(threshold) - SLACK
-    near = _sizes_fit(F.col("x.n"), F.col("y.n"), threshold) & coarse & (estimate(F.col("x.fine"), F.col("y.fine"), FINE_PERMUTATIONS) > float(threshold) - FINE_SLACK)
+    # from the cheapest test to the dearest
+    near = _sizes_fit(F.col("x.n"), F.col("y.n"), threshold) & coarse & (estimate(F.col("x.fine"), F.col("y.fine"), FINE_PERMUTATIONS, FIRST_PERMUTATIONS) > float(threshold) - FIRST_SLACK)
+    fine = estimate(F.col("x.fine"), F.col("y.fine"), FINE_PERMUTATIONS) > float(threshold) - FINE_SLACK
     first = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near & first
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near & first & fine
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 

@@ -166,13 +166,26 @@ def test_signature_estimate_is_unbiased():
 
 def test_estimates_lose_fewer_links_than_banding():
     banding = (1 - 0.8**4) ** minhash.BANDS
-    for n, slack in ((minhash.PERMUTATIONS, minhash.SLACK), (minhash.FINE_PERMUTATIONS, minhash.FINE_SLACK)):
+    for n, slack in ((minhash.PERMUTATIONS, minhash.SLACK), (minhash.FIRST_PERMUTATIONS, minhash.FIRST_SLACK), (minhash.FINE_PERMUTATIONS, minhash.FINE_SLACK)):
         most = math.floor(n * (0.25 + 0.75 * (0.8 - slack)) + 1e-9)
         p = 0.25 + 0.75 * 0.8
         lost = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(most + 1))
         assert lost < banding / 10
 
 
+def test_estimate_is_the_share_of_equal_positions(spark):
+    r = np.random.default_rng(5)
+    pool = r.integers(0, 1 << 63, 3000).astype(np.uint64)
+    n = minhash.FINE_PERMUTATIONS
+    a, b = (minhash.pack(minhash.minima(np.unique(x), n)) for x in (pool[:2000], pool[300:2300]))
+    p, q = (np.unpackbits(x.view(np.uint8)).reshape(2, -1) for x in (a, b))
+    row = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<long>, b array<long>")
+    for k in (128, 1024, n):
+        equal = (p == q).all(axis=0)[:k].mean()
+        got = row.select(minhash.estimate(row["a"], row["b"], n, k)).first()[0]
+        assert math.isclose(got, (equal - 0.25) / 0.75, abs_tol=1e-12)
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(300, i) for i in range(301, 360)] + [(400 + i, 401 + i) for i in range(30)]
