@@ -134,10 +134,14 @@ def normal_cdf_value(x: float) -> float:
 
 
 def normal_cdf(c: Column) -> Column:
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(normal_cdf_value, na_action="ignore").astype("float64")
-
-    return F.pandas_udf(run, "double")(c)
+    """The normal distribution function in the JVM: the complementary error function by its series near zero and by its continued
+    fraction beyond, each with as many terms as double precision asks for."""
+    z = F.abs(c) / math.sqrt(2)
+    near = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), F.lit(1.0), lambda s, k: 1.0 + s * (2.0 * z * z) / (2.0 * k + 1.0))
+    upper_near = 1.0 - 2.0 / math.sqrt(math.pi) * z * F.exp(-z * z) * near
+    far = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), z, lambda s, k: z + (k / 2.0) / s)
+    tail = F.when(z < 2.5, upper_near).otherwise(F.exp(-z * z) / math.sqrt(math.pi) / far) / 2
+    return F.when(c.isNull(), F.lit(None).cast("double")).when(F.isnan(c), c).when(c > 0, 1 - tail).otherwise(tail)
 
 
 def chi2_sf_even(x: Column, half_df: Column, most: int = 64) -> Column:

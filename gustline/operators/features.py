@@ -87,6 +87,35 @@ def turbulence_entry(df: DataFrame, value: str, threshold, h: int = 21, out: str
     return df.withColumn(out, (top >= threshold).cast("int"))
 
 
+def gmm_features(matrix: DataFrame, labels: DataFrame, label: str, k: int) -> DataFrame:
+    """The feature matrix with a mixture's regimes in place of turbulence and threshold regime: columns turb_* and regime_* go;
+    gmm_regime_lag1, gmm_regime_ma21 and gmm_k_1 to gmm_k_(k-1), all of rows before, come. ``labels``: universe, d, pos and the label (0 to k - 1) of every row of the panel."""
+    w = series(order=("pos",))
+    c = F.col(label).cast("double")
+    block = labels.select(
+        "universe",
+        "d",
+        F.lag(c).over(w).alias("gmm_regime_lag1"),
+        W.mean(c, W.Frame(21, 10, 1), w).alias("gmm_regime_ma21"),
+        *[F.lag((c == j).cast("double")).over(w).alias(f"gmm_k_{j}") for j in range(1, k)],
+    )
+    kept = [x for x in matrix.columns if not x.startswith(("turb_", "regime_"))]
+    return matrix.select(*kept).join(block, ["universe", "d"], "left")
+
+
+def absorption_features(matrix: DataFrame, ratio: DataFrame, shift: DataFrame) -> DataFrame:
+    """The feature matrix with absorption and absorption_shift joined on: both are made from rows before theirs. ``ratio``: universe, refit_pos,
+    absorption; ``shift``: universe, pos, absorption_shift."""
+    own = ratio.select("universe", F.col("refit_pos").alias("pos"), "absorption").join(shift.select("universe", "pos", "absorption_shift"), ["universe", "pos"], "left")
+    return matrix.join(own, ["universe", "pos"], "left")
+
+
+def event_block(matrix: DataFrame, events: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The feature matrix with the event-clock columns joined on; rows that lack a column of either part go."""
+    names = [*[c for c in matrix.columns if c not in ("universe", "d", "pos")], *columns]
+    return matrix.join(events.select("universe", "d", *columns), ["universe", "d"], "inner").na.drop("any", subset=names)
+
+
 def forward_drawdown(df: DataFrame, price: str, h: int = 21, out: str = "fdd") -> DataFrame:
     """Lowest ln price of the next ``h`` rows less today's; a partial tail counts."""
     low = W.forward(F.log(price), h, series(order=("pos",)), "min")
@@ -94,7 +123,9 @@ def forward_drawdown(df: DataFrame, price: str, h: int = 21, out: str = "fdd") -
 
 
 def correction_label(fdd: Column, loss: float = 0.05) -> Column:
-    return (fdd <= F.log1p(F.lit(-loss))).cast("int") if loss >= 1 else (fdd <= -loss).cast("int")
+    if not 0 < loss < 1:
+        raise ValueError("loss is a share between 0 and 1")
+    return (fdd <= -loss).cast("int")
 
 
 def dev_quantile(df: DataFrame, value: str, dev_end, q: float = 0.9, out: str = "threshold") -> DataFrame:
@@ -107,5 +138,5 @@ def persistence_table(df: DataFrame, value: str, horizons=(1, 5, 10, 20), q: flo
     w = series(order=("pos",))
     cut = df.groupBy("universe").agg(F.percentile(F.col(value), F.lit(q)).alias("__cut"))
     ahead = F.array(*[F.struct(F.lit(h).alias("h"), W.forward(F.col(value), h, w, "avg", whole=True).alias("m")) for h in horizons])
-    rows = df.withColumn("__a", ahead).join(F.broadcast(cut), "universe").select("universe", (F.col(value) >= F.col("__cut")).alias("top"), F.explode("__a").alias("a"))
+    rows = df.withColumn("__a", ahead).join(cut, "universe").select("universe", (F.col(value) >= F.col("__cut")).alias("top"), F.explode("__a").alias("a"))
     return rows.groupBy("universe", F.col("a.h").alias("h")).agg(F.avg(F.when(F.col("top"), F.col("a.m"))).alias("after_top"), F.avg("a.m").alias("base"))

@@ -46,7 +46,7 @@ def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 50) -> DataFrame:
     """Counts of equal bins between the group's least and largest value; the last bin is closed."""
     edge = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    rows = df.filter(F.col(value).isNotNull()).join(F.broadcast(edge), list(keys))
+    rows = df.filter(F.col(value).isNotNull()).join(edge, list(keys))
     b = F.least(F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1))
     return rows.withColumn("bin", F.when(F.col("__hi") > F.col("__lo"), b).otherwise(0).cast("int")).groupBy(*keys, "bin", "__lo", "__hi").agg(F.count("*").alias("n")).withColumnsRenamed({"__lo": "lo", "__hi": "hi"})
 
@@ -54,7 +54,7 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 50) ->
 def kl_to_normal(df: DataFrame, keys: Sequence[str], value: str, bins: int = 50) -> DataFrame:
     """Kullback-Leibler divergence of the standardised histogram from a normal law."""
     z = df.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
-    rows = df.join(F.broadcast(z), list(keys)).withColumn("z", (F.col(value) - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0)))
+    rows = df.join(z, list(keys)).withColumn("z", (F.col(value) - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0)))
     h = histogram(rows, keys, "z", bins)
     width = (F.col("hi") - F.col("lo")) / bins
     left = F.col("lo") + F.col("bin") * width
@@ -115,7 +115,7 @@ def top_decile(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", d
     """Confusion table of the scores at or above their own (1 - decile) quantile."""
     rows = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     cut = rows.groupBy(*keys).agg(F.percentile(p, F.lit(1 - decile)).alias("threshold"))
-    rows = rows.join(F.broadcast(cut), list(keys))
+    rows = rows.join(cut, list(keys))
     return confusion(rows, [*keys, "threshold"], y, p, F.col("threshold"))
 
 
@@ -205,7 +205,7 @@ def overlay(df: DataFrame, r: str, signal: str, decile: float = 0.1, out: str =
     """Holds the asset the row after a signal below its own top-decile threshold, else nothing. The threshold is
     the whole sample's; pass a frozen one through ``frozen_overlay`` for a causal test."""
     cut = df.groupBy("universe").agg(F.percentile(signal, F.lit(1 - decile)).alias("__cut"))
-    return frozen_overlay(df.join(F.broadcast(cut), "universe"), r, signal, F.col("__cut"), out=out).drop("__cut")
+    return frozen_overlay(df.join(cut, "universe"), r, signal, F.col("__cut"), out=out).drop("__cut")
 
 
 def frozen_overlay(df: DataFrame, r: str, signal: str, cut, cost: float = 0.0, out: str = "strategy") -> DataFrame:
@@ -249,13 +249,13 @@ def route(gate: Column, shock: Column, defensive: str = "bonds", inflationary: s
 def matched_exposure(df: DataFrame, keys: Sequence[str], position: str, asset: str, cash: str) -> DataFrame:
     """Static benchmark with the strategy's mean exposure: column ``static``."""
     mean = df.groupBy(*keys).agg(F.avg(position).alias("__w"))
-    return df.join(F.broadcast(mean), list(keys)).withColumn("static", F.col("__w") * F.col(asset) + (1 - F.col("__w")) * F.col(cash)).drop("__w")
+    return df.join(mean, list(keys)).withColumn("static", F.col("__w") * F.col(asset) + (1 - F.col("__w")) * F.col(cash)).drop("__w")
 
 
 def matched_volatility(df: DataFrame, keys: Sequence[str], strategy: str, asset: str) -> DataFrame:
     """The asset scaled to the strategy's volatility: column ``matched``."""
     s = df.groupBy(*keys).agg((F.stddev_pop(strategy) / F.nullif(F.stddev_pop(asset), F.lit(0.0))).alias("__k"))
-    return df.join(F.broadcast(s), list(keys)).withColumn("matched", F.col("__k") * F.col(asset)).drop("__k")
+    return df.join(s, list(keys)).withColumn("matched", F.col("__k") * F.col(asset)).drop("__k")
 
 
 def basket(df: DataFrame, value: str, out: str = "basket") -> DataFrame:

@@ -33,7 +33,7 @@ def purged_folds(sizes: DataFrame, k: int = 5, horizon: int = 21, embargo: int =
 def in_folds(df: DataFrame, folds: DataFrame) -> DataFrame:
     """Rows of each fold with ``part`` train or test; folds are few, so they are broadcast."""
     part = F.when(F.col("pos") < F.col("train_hi"), "train").when((F.col("pos") >= F.col("test_lo")) & (F.col("pos") < F.col("test_hi")), "test")
-    return df.join(F.broadcast(folds), "universe").withColumn("part", part).filter("part is not null").drop("train_hi", "test_lo", "test_hi")
+    return df.join(folds, "universe").withColumn("part", part).filter("part is not null").drop("train_hi", "test_lo", "test_hi")
 
 
 def quarter_ends(spark: SparkSession, dev_end: str, oos_start: str, end: str) -> DataFrame:
@@ -57,4 +57,4 @@ def train_rows(df: DataFrame, refits: DataFrame, purge: int, calendar_compat: bo
     if calendar_compat:
         return df.join(F.broadcast(refits), F.col("d") < F.date_sub("asof", purge))
     last = df.join(F.broadcast(refits), F.col("d") <= F.col("asof")).groupBy("universe", "asof").agg(F.max("pos").alias("__last"))
-    return df.join(F.broadcast(last), "universe").filter(F.col("pos") <= F.col("__last") - purge).drop("__last")
+    return df.join(last, "universe").filter(F.col("pos") <= F.col("__last") - purge).drop("__last")

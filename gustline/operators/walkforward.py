@@ -192,7 +192,7 @@ def fixed_contributions(vectors: DataFrame, factors: list[str], shrinkage: str |
         return pd.Series(out)
 
     udf = F.pandas_udf(run, "array<double>")
-    return vectors.join(F.broadcast(fit), "universe").withColumn("contributions", udf("x", "m")).drop("m")
+    return vectors.join(fit, "universe").withColumn("contributions", udf("x", "m")).drop("m")
 
 
 # fits that need the window's rows
@@ -399,7 +399,7 @@ def spliced_panel(prices: DataFrame, definitions: DataFrame, fallbacks: DataFram
     w = Window.partitionBy("ticker").orderBy("d")
     own = prices.filter("close > 0").withColumn("r", F.log("close") - F.log(F.lag("close").over(w))).filter("r is not null")
     source = definitions.select("factor", F.lit(0).alias("priority"), F.col("primary").alias("ticker")).unionByName(fallbacks.select("factor", "priority", "ticker"))
-    chosen = own.join(F.broadcast(source), "ticker").groupBy("factor", "d").agg(F.min_by("r", "priority").alias("r"))
+    chosen = own.join(source, "ticker").groupBy("factor", "d").agg(F.min_by("r", "priority").alias("r"))
     by = Window.partitionBy("factor").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     cum = F.sum("r").over(by)
     return chosen.select("factor", "d", (F.exp(cum - F.first("r").over(by)) * start).alias("level"))

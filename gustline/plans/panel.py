@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustline.functions.scalars import finite, log_return, series
@@ -107,12 +107,14 @@ def windows_exploded(rows: DataFrame, refits: DataFrame, block: int) -> DataFram
 # the driver's tables as panels
 
 
-def flag_weeks(lineitem: DataFrame, supplier: DataFrame | None = None, nation: DataFrame | None = None, region: DataFrame | None = None, flags: Sequence[str] = ("A", "N", "R"), digits: int = 9) -> DataFrame:
-    """Weekly mean extended price by return flag, per supplier region if the dimension tables are given:
-    columns universe, d, pos and one per flag; weeks that lack a flag are left out."""
+def flag_weeks(lineitem: DataFrame, supplier: DataFrame | None = None, nation: DataFrame | None = None, region: DataFrame | None = None, flags: Sequence[str] = ("A", "N", "R"), digits: int = 9, unit: str = "week", universe: Column | None = None) -> DataFrame:
+    """Mean extended price by return flag and ``unit`` of time, per supplier region if the dimension tables are given, or per ``universe``
+    (an expression over lineitem): columns universe, d, pos and one per flag; weeks that lack a flag are left out."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    rows = lineitem.select("l_suppkey", "l_returnflag", F.trunc("l_shipdate", "week").alias("d"), cents.alias("cents"))
-    if supplier is None:
+    rows = lineitem.select("l_suppkey", "l_returnflag", F.trunc("l_shipdate", unit).alias("d"), cents.alias("cents"), *([universe.alias("universe")] if universe is not None else []))
+    if universe is not None:
+        pass
+    elif supplier is None:
         rows = rows.withColumn("universe", F.lit("all"))
     else:
         where = supplier.join(F.broadcast(nation), supplier["s_nationkey"] == nation["n_nationkey"]).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -36,10 +36,16 @@ def prices(spark: SparkSession, sf: str, by_region: bool = True) -> DataFrame:
     return panel.flag_weeks(load(spark, sf, "lineitem"), *dims).withColumnsRenamed({"A": "fa", "N": "fn", "R": "fr"})
 
 
-def base(spark: SparkSession, sf: str, by_region: bool = True) -> DataFrame:
+def prices_by_supplier(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel that grows with the tables: a universe is a supplier, a row a month."""
+    own = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    return panel.flag_weeks(load(spark, sf, "lineitem"), unit="month", universe=own).withColumnsRenamed({"A": "fa", "N": "fn", "R": "fr"})
+
+
+def base(spark: SparkSession, sf: str, by_region: bool = True, by_supplier: bool = False) -> DataFrame:
     """universe, d, pos, fa, fn, fr, xa, xn, xr, v."""
     w = S.series()
-    p = prices(spark, sf, by_region)
+    p = prices_by_supplier(spark, sf) if by_supplier else prices(spark, sf, by_region)
     p = p.select("*", *[F.round(S.log_return(F.col("f" + c), w), 12).alias("x" + c) for c in "anr"])
     return p.withColumn("v", F.round(F.col("xa") * F.col("xa") + F.col("xn") * F.col("xn") + F.col("xr") * F.col("xr"), 12))
 
@@ -56,12 +62,12 @@ def forecasts(b: DataFrame) -> DataFrame:
     return b.select("universe", "d", "pos", "xa", "xn", "v", y.alias("y"), p.alias("p"))
 
 
-def _base_sql(region: bool) -> str:
-    u = "r_name" if region else "'all'"
-    dims = " join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey" if region else ""
+def _base_sql(region: bool | str) -> str:
+    u, unit = ("'s' || l_suppkey", "month") if region == "supplier" else ("r_name" if region else "'all'", "week")
+    dims = " join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey" if region is True else ""
     pick = ", ".join(f"sum(case when l_returnflag = '{c.upper()}' then cents end) / count(case when l_returnflag = '{c.upper()}' then cents end) / 100.0 as f{c}" for c in "anr")
     ret = ", ".join(f"round(ln(f{c} / lag(f{c}) over w), 12) as x{c}" for c in "anr")
-    return f"""px as (select {u} as universe, cast(date_trunc('week', l_shipdate) as date) as d, {pick}
+    return f"""px as (select {u} as universe, cast(date_trunc('{unit}', l_shipdate) as date) as d, {pick}
  from (select *, cast(round(l_extendedprice * 100) as bigint) as cents from lineitem){dims} group by 1, 2),
 p as (select *, row_number() over (partition by universe order by d) - 1 as pos from px where fa is not null and fn is not null and fr is not null),
 b as (select *, round(xa * xa + xn * xn + xr * xr, 12) as v from (select *, {ret} from p window w as (partition by universe order by d)) t)"""
@@ -72,7 +78,7 @@ FC = """fc as (select *, case when t is null then null when t >= 0.3 then 1 else
  round(lag(v) over w / (1 + lag(v) over w), 6) as p from b window w as (partition by universe order by d)) t0)"""
 
 
-def add(name: str, fn, sql: str | None = None, keys: str = "universe,d", ints: str = "", doubles: str = "", digits: int = 6, ctes: str = "", region: bool = True, recursive: bool = False) -> None:
+def add(name: str, fn, sql: str | None = None, keys: str = "universe,d", ints: str = "", doubles: str = "", digits: int = 6, ctes: str = "", region: bool | str = True, recursive: bool = False) -> None:
     """``fn`` gives a DataFrame with the named columns and ``sql`` a select with the same; keys are returned as
     they are, ints as bigint, doubles rounded."""
     ks, ns, ds = ([c for c in x.replace(" ", "").split(",") if c] for x in (keys, ints, doubles))
@@ -92,12 +98,16 @@ def on_base(f):
     return lambda spark, sf: f(base(spark, sf))
 
 
+def on_suppliers(f):
+    return lambda spark, sf: f(base(spark, sf, by_supplier=True))
+
+
 def each_universe(f):
     """``f(own, others)`` of the panel of every universe and of the rows of all others, with the universe on its rows;
     for operators of one series or one training matrix."""
 
     def run(spark, sf):
-        b = base(spark, sf).cache()
+        b = base(spark, sf)
         names = sorted(r[0] for r in b.select("universe").distinct().collect())
         parts = [f(b.filter(F.col("universe") == u), b.filter(F.col("universe") != u)).withColumn("universe", F.lit(u)) for u in names]
         return functools.reduce(DataFrame.unionByName, parts)
@@ -452,10 +462,10 @@ def _losses(b):
 
 DM = f"dm as (select universe, d, dd - avg(dd) over (partition by universe) as c, dd from (select universe, d, xa * xa - xn * xn as dd from b where xa is not null) z), dg as (select *, lag(c) {O}) as c1, lag(c, 2) {O}) as c2 from dm)"
 add("in01_diebold_mariano", on_base(lambda b: inference.diebold_mariano(_losses(b), ["universe"], "la", "lb", 3)), "select universe, count(*) as n, avg(dd) as mean_diff, avg(dd) / sqrt((sum(c * c) + 2 * (1 - 1 / 3.0) * sum(c * c1) + 2 * (1 - 2 / 3.0) * sum(c * c2)) / count(*) / count(*)) as stat from dg group by 1", keys="universe", ints="n", doubles="mean_diff,stat", ctes=DM)
-add("in02_block_bootstrap", each_universe(lambda b, _: inference.bootstrap_difference(b, "xa", "xn", block=8, n=400)), None, keys="universe", ints="n_resamples", doubles="observed,lo,hi,p_value")
-add("in03_stationary_bootstrap", each_universe(lambda b, _: inference.bootstrap_difference(b, "xa", "xn", block=8, n=400, method="stationary")), None, keys="universe", ints="n_resamples", doubles="observed,lo,hi,p_value")
-add("in04_basket_bootstrap", on_base(lambda b: inference.bootstrap_basket(b, "xa", "xn", 8, 400)), None, keys="", ints="n_resamples", doubles="observed,lo,hi")
-add("in05_mean_difference", each_universe(lambda b, _: inference.bootstrap_mean_difference(b.filter("xa is not null").withColumn("flag", F.col("v") > 0.3), "xa", "flag", 8, 400)), None, keys="universe", doubles="observed,lo,hi,p_value")
+add("in02_block_bootstrap", each_universe(lambda b, _: inference.bootstrap_difference(b, "xa", "xn", block=8)), None, keys="universe", ints="n_resamples", doubles="observed,lo,hi,p_value")
+add("in03_stationary_bootstrap", each_universe(lambda b, _: inference.bootstrap_difference(b, "xa", "xn", block=8, method="stationary")), None, keys="universe", ints="n_resamples", doubles="observed,lo,hi,p_value")
+add("in04_basket_bootstrap", on_base(lambda b: inference.bootstrap_basket(b, "xa", "xn", 8)), None, keys="", ints="n_resamples", doubles="observed,lo,hi")
+add("in05_mean_difference", each_universe(lambda b, _: inference.bootstrap_mean_difference(b.filter("xa is not null").withColumn("flag", F.col("v") > 0.3), "xa", "flag", 8)), None, keys="universe", doubles="observed,lo,hi,p_value")
 
 
 def _pairs(b):
@@ -463,7 +473,7 @@ def _pairs(b):
     return typology.at_starts(typology.runup(_turb_wide(b), X, 8), comp).join(comp.withColumnRenamed("start", "d"), ["universe", "d"]).filter("pre is not null")
 
 
-add("in06_permutation_cosine", on_base(lambda b: inference.permutation_cosine(_pairs(b), "pre", "composition", 400)), None, keys="", ints="n_episodes", doubles="observed,null_mean,p_value")
+add("in06_permutation_cosine", on_base(lambda b: inference.permutation_cosine(_pairs(b), "pre", "composition")), None, keys="", ints="n_episodes", doubles="observed,null_mean,p_value")
 PRE = f"""tw as (select * from tb where ca is not null), cp as (select e.universe, e.start_, avg(ca) / (avg(ca) + avg(cn) + avg(cr)) as a, avg(cn) / (avg(ca) + avg(cn) + avg(cr)) as n, avg(cr) / (avg(ca) + avg(cn) + avg(cr)) as r from ep e join tw on tw.universe = e.universe and tw.d between e.start_ and e.end_ group by 1, 2 having avg(ca) + avg(cn) + avg(cr) > 0),
 al_ as (select b.universe, b.d, b.pos, tw.ca, tw.cn, tw.cr from b left join tw on tw.universe = b.universe and tw.d = b.d),
 pv as (select universe, d, avg(ca) over h / (avg(ca) over h + avg(cn) over h + avg(cr) over h) as pa, avg(cn) over h / (avg(ca) over h + avg(cn) over h + avg(cr) over h) as pn, avg(cr) over h / (avg(ca) over h + avg(cn) over h + avg(cr) over h) as pr from al_ window h as (partition by universe order by d rows between 8 preceding and 1 preceding))"""
@@ -471,15 +481,15 @@ CT = _mom_sql(LB, True) + ", " + EPI + ", " + PRE
 add("in06_null_mean", on_base(lambda b: inference.null_mean_cosine(_pairs(b), "pre", "composition")), "select avg((x.pa * y.a + x.pn * y.n + x.pr * y.r) / (sqrt(x.pa ** 2 + x.pn ** 2 + x.pr ** 2) * sqrt(y.a ** 2 + y.n ** 2 + y.r ** 2))) as null_mean from (select pv.* from pv join cp on cp.universe = pv.universe and cp.start_ = pv.d where pa is not null) x, (select cp.* from pv join cp on cp.universe = pv.universe and cp.start_ = pv.d where pa is not null) y", keys="", doubles="null_mean", ctes=CT)
 add("in07_sign_flip_exact", on_base(lambda b: inference.sign_flip(b.filter("universe = 'ASIA' and pos between 1 and 10"), "xa")), "select any_value(m) as mean, avg((s / 10 >= m - 1e-12)::int) as p_value, 10 as n from (select k, sum(case when (k >> cast(i as integer)) & 1 = 1 then xa else -xa end) as s from (select cast(range as integer) as k from range(0, 1024)), (select xa, row_number() over (order by d) - 1 as i from b where universe = 'ASIA' and pos between 1 and 10) x group by 1) z, (select avg(xa) as m from b where universe = 'ASIA' and pos between 1 and 10) a", keys="", ints="n", doubles="mean,p_value")
 add("in07_sign_flip_exact_years", on_base(lambda b: inference.sign_flip(b.filter("xa is not null").groupBy(F.year("d").alias("yr")).agg(F.avg("xa").alias("xa")), "xa")), "select any_value(m) as mean, avg((s / n >= m - 1e-12)::int) as p_value, any_value(n) as n from (select k, sum(case when (k >> cast(i as integer)) & 1 = 1 then xa else -xa end) as s from (select cast(range as integer) as k from range(0, (select 1 << count(*) from yx))), (select xa, row_number() over (order by yr) - 1 as i from yx) group by 1) z, (select avg(xa) as m, count(*) as n from yx) a", keys="", ints="n", doubles="mean,p_value", ctes="yx as (select year(d) as yr, avg(xa) as xa from b where xa is not null group by 1)")
-add("in07_sign_flip", on_base(lambda b: inference.sign_flip(b.filter("xa is not null"), "xa", 400)), None, keys="", ints="n", doubles="mean,p_value")
-add("in07_episode_interval", on_base(lambda b: inference.episode_interval(_episodes(b), "mean_turb", 400)), None, keys="", ints="n", doubles="mean,lo,hi")
-add("in08_cluster_tests", on_base(lambda b: inference.cluster_interval(regimes.clusters(_episodes(b)).withColumn("c", F.concat("universe", F.col("cluster").cast("string"))), "mean_turb", "c", 400)), None, keys="", ints="n", doubles="mean,lo,hi")
+add("in07_sign_flip", on_base(lambda b: inference.sign_flip(b.filter("xa is not null"), "xa")), None, keys="", ints="n", doubles="mean,p_value")
+add("in07_episode_interval", on_base(lambda b: inference.episode_interval(_episodes(b), "mean_turb")), None, keys="", ints="n", doubles="mean,lo,hi")
+add("in08_cluster_tests", on_base(lambda b: inference.cluster_interval(regimes.clusters(_episodes(b)).withColumn("c", F.concat("universe", F.col("cluster").cast("string"))), "mean_turb", "c")), None, keys="", ints="n", doubles="mean,lo,hi")
 add("in08_t_test", on_base(lambda b: inference.t_test(b, ["universe"], "xa")), "select universe, count(xa) as n, avg(xa) as mean, avg(xa) / (stddev_samp(xa) / sqrt(count(xa))) as t from b group by 1", keys="universe", ints="n", doubles="mean,t")
 add("in08_wilcoxon", on_base(lambda b: inference.wilcoxon(b.filter("xa is not null"), ["universe"], "xa")), "select universe, sum(case when xa > 0 then r else 0 end) as w_plus, count(*) as n from (select *, rank() over (partition by universe order by abs(xa)) + (count(*) over (partition by universe, abs(xa)) - 1) / 2.0 as r from b where xa is not null and xa <> 0) t group by 1", keys="universe", ints="n", doubles="w_plus")
-add("in09_label_permutation", each_universe(lambda b, _: inference.label_permutation(b.filter("xa is not null").withColumn("g", F.col("pos") % 2 == 0), "xa", "g", 400)), None, keys="universe", doubles="difference,p_value")
-add("in10_spearman_interval", each_universe(lambda b, _: inference.bootstrap_spearman(b.filter("xa is not null"), "xa", "xn", 8, 400)), None, keys="universe", doubles="observed,lo,hi")
+add("in09_label_permutation", each_universe(lambda b, _: inference.label_permutation(b.filter("xa is not null").withColumn("g", F.col("pos") % 2 == 0), "xa", "g")), None, keys="universe", doubles="difference,p_value")
+add("in10_spearman_interval", each_universe(lambda b, _: inference.bootstrap_spearman(b.filter("xa is not null"), "xa", "xn", 8)), None, keys="universe", doubles="observed,lo,hi")
 add("in11_incremental_r2", on_base(lambda b: inference.incremental_r2(b.filter("universe = 'ASIA'"), "xa", ["xn"], ["xr"])), "select regr_r2(xa, xn) as r2_base from b where universe = 'ASIA' and xr is not null", keys="", doubles="r2_base")
-add("in11_incremental_r2_universes", each_universe(lambda b, _: inference.incremental_r2(b, "xa", ["xn"], ["xr"])), "select universe, regr_r2(xa, xn) as r2_base from b where xr is not null group by 1", keys="universe", doubles="r2_base")
+add("in11_incremental_r2_universes", each_universe(lambda b, _: inference.incremental_r2(b, "xa", ["xn"], ["xr"])), "select universe, ay * ay as r2_base, (ay * ay + az * az - 2 * ay * az * yz) / (1 - yz * yz) as r2_full, (ay * ay + az * az - 2 * ay * az * yz) / (1 - yz * yz) - ay * ay as r2_gain from (select universe, corr(xa, xn) as ay, corr(xa, xr) as az, corr(xn, xr) as yz from b where xa is not null and xn is not null and xr is not null group by 1) t", keys="universe", doubles="r2_base,r2_full,r2_gain")
 
 # --- causality ------------------------------------------------------------------------------------------------------
 
@@ -552,21 +562,65 @@ def _xy(b):
     return f.select("universe", "d", "pos", "turb_lag1", "turb_ma21", "eq_vol_21", "eq_ret_ma5").join(forecasts(b).select("universe", "d", "y"), ["universe", "d"]), ["turb_lag1", "turb_ma21", "eq_vol_21", "eq_ret_ma5"]
 
 
+def _quarters(spark):
+    return splits.quarter_ends(spark, "1996-12-31", "1997-01-01", "2001-06-30")
+
+
 def _refits(spark):
     return splits.quarter_ends(spark, "1998-12-31", "1999-01-01", "2001-06-30")
 
 
-add("ml03_train_one", lambda spark, sf: (lambda b: (lambda df, cols: learning.train_one(df, cols, "logistic_l1", _folds(b).filter("fold >= 4"), DEV_END)["oos"])(*_xy(b)))(base(spark, sf).cache()), None, doubles="p")
-add("ml01_registry_forest", lambda spark, sf: (lambda b: (lambda df, cols: learning.train_one(df, cols, "random_forest", None, DEV_END, trees=20)["oos"])(*_xy(b)))(base(spark, sf).cache()), None, doubles="p")
-add("ml05_walk_forward", lambda spark, sf: (lambda df, cols: learning.walk_forward(df, cols, _refits(spark), ("logistic_l1", "elastic_net", "linear_svm"), 4, 104)[0])(*_xy(base(spark, sf))), None, keys="universe,d,model", doubles="p")
+add("ml03_train_one", lambda spark, sf: (lambda b: (lambda df, cols: learning.train_one(df, cols, "logistic_l1", _folds(b), DEV_END)["oos"])(*_xy(b)))(base(spark, sf)), None, doubles="p")
+add("ml01_registry_forest", lambda spark, sf: (lambda b: (lambda df, cols: learning.train_one(df, cols, "random_forest", None, DEV_END)["oos"])(*_xy(b)))(base(spark, sf)), None, doubles="p")
+add("ml05_walk_forward", lambda spark, sf: (lambda df, cols: learning.walk_forward(df, cols, _refits(spark), ("random_forest", "logistic_l1", "elastic_net", "linear_svm"), 4, 104)[0])(*_xy(base(spark, sf))), None, keys="universe,d,model", doubles="p")
 add("ml05_refit_log", lambda spark, sf: (lambda df, cols: learning.walk_forward(df, cols, _refits(spark), ("logistic_l1",), 4, 104)[1].withColumn("universe", F.col("scope")).withColumn("d", F.col("asof")))(*_xy(base(spark, sf))), None, ints="train_n,pred_n", doubles="train_positive_rate")
 add("ml06_pooled", lambda spark, sf: (lambda df, cols: learning.walk_forward(S.one_hot(df, "universe", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], "mkt_").withColumnRenamed("mkt_MIDDLE EAST", "mkt_ME"), [*cols, "mkt_AMERICA", "mkt_ASIA", "mkt_EUROPE", "mkt_ME"], _refits(spark), ("logistic_l1",), 4, 300, scope="pooled")[0])(*_xy(base(spark, sf))), None, doubles="p")
 add("ml07_calibrated", lambda spark, sf: (lambda df, cols: learning.walk_forward(df, cols, _refits(spark), ("logistic",), 4, 104, 10, isotonic_map=True)[0])(*_xy(base(spark, sf))), None, doubles="p")
 add("ml08_isotonic", on_base(lambda b: learning.calibrate_isotonic(*splits.dev_oos(forecasts(b).filter("p is not null and y is not null"), DEV_END))), None, doubles="calibrated")
-add("ml09_cutoff_sweep", lambda spark, sf: (lambda df, cols: learning.cutoff_sweep(df, cols, splits.month_ends(spark, "1998-06-01", "1999-03-31"), ("logistic_l1",), 4, 104))(*_xy(base(spark, sf))), None, keys="universe,model,cutoff", ints="n", doubles="auc,brier")
+add("ml09_cutoff_sweep", lambda spark, sf: (lambda df, cols: learning.cutoff_sweep(df, cols, splits.month_ends(spark, "1996-12-01", "2000-12-31"), _quarters(spark), ("random_forest", "logistic_l1"), 4, 52))(*_xy(base(spark, sf))), None, keys="universe,model,cutoff", ints="n,n_refits", doubles="auc,brier")
 add("ml12_naive_baseline", on_base(lambda b: learning.naive_baseline(forecasts(b), ["universe"], "v")), "select universe, (sum(r) filter (y = 1) - n1 * (n1 + 1) / 2.0) / (n1 * (n - n1)) as auc, n from (select *, rank() over (partition by universe order by v) + (count(*) over (partition by universe, v) - 1) / 2.0 as r, sum(y) over (partition by universe) as n1, count(*) over (partition by universe) as n from fc where y is not null and v is not null) t group by universe, n1, n", keys="universe", ints="n", doubles="auc", ctes=FC)
 add("ml13_ablation", on_base(lambda b: learning.ablation(lambda q, window: regimes.threshold_regime(b, "v", q, window, MP, digits=9).groupBy("universe").agg(F.sum("regime").alias("hot")), {"q": 0.75, "window": LB}, {"q": (0.75, 0.9), "window": (LB, 52)}).withColumn("name", F.concat_ws("=", "knob", "value"))), None, keys="universe,name", ints="hot")
-add("ml14_leave_one_out", lambda spark, sf: (lambda df, cols: learning.leave_one_out(lambda cs: learning.cutoff_sweep(df, cs, splits.month_ends(spark, "1998-12-01", "1998-12-31"), ("logistic_l1",), 4, 104), cols).withColumnRenamed("dropped", "name"))(*_xy(base(spark, sf))), None, keys="universe,name", doubles="auc")
+add("ml14_leave_one_out", lambda spark, sf: (lambda df, cols: learning.leave_one_out(lambda cs: learning.cutoff_sweep(df, cs, splits.month_ends(spark, "1996-12-01", "2000-12-31"), _quarters(spark), ("logistic_l1",), 4, 52), cols).withColumnRenamed("dropped", "name"))(*_xy(base(spark, sf))), None, keys="universe,name,cutoff", doubles="auc")
+
+add("ml15_coefficients", lambda spark, sf: (lambda df, cols: learning.coefficients(learning.train_one(df, cols, "logistic_l1", None, DEV_END)["model"], cols).withColumnRenamed("feature", "variable"))(*_xy(base(spark, sf))), None, keys="variable", doubles="weight")
+
+# --- blocks joined on the feature matrix, centroids -----------------------------------------------------------------
+
+
+def _gmm_block(b):
+    m = features.feature_matrix(b, "v", "fa", "fn", "fn", "fr")
+    return features.gmm_features(m, b.withColumn("k", F.pmod("pos", F.lit(3)).cast("int")), "k", 3)
+
+
+add("ft04_gmm_features", on_base(_gmm_block), f"select universe, d, lag(xa) {O}) as eq_ret_lag1, lag(pos % 3) {O}) as gmm_regime_lag1, case when count(pos) {O} {fr(21)} >= 10 then avg(pos % 3) {O} {fr(21)} end as gmm_regime_ma21, lag((pos % 3 = 1)::int) {O}) as gmm_k_1, lag((pos % 3 = 2)::int) {O}) as gmm_k_2 from b", doubles="eq_ret_lag1,gmm_regime_lag1,gmm_regime_ma21,gmm_k_1,gmm_k_2")
+
+
+def _absorption_block(b):
+    ratio = walkforward.absorption_ratio(vectors(b), X, 1, LB, MP, 4)
+    shift = walkforward.absorption_shift(ratio.withColumnRenamed("refit_pos", "pos").filter("absorption is not null"), fast=5, slow=20)
+    return features.absorption_features(features.feature_matrix(b, "v", "fa", "fn"), ratio, shift).filter("absorption is not null")
+
+
+add("ft05_absorption_features", on_base(_absorption_block), None, doubles="turb_lag1,absorption,absorption_shift")
+ET = ["et_intensity_to_date", "et_days_since_start", "et_velocity"]
+add("ft06_event_block", on_base(lambda b: features.event_block(features.feature_matrix(b, "v", "fa", "fn").select("universe", "d", "pos", "eq_ret_lag1"), eventclock.event_features(b.filter("v is not null"), "v", "xa", 2.0, 6), ET)), None, doubles=",".join(["eq_ret_lag1", *ET]))
+ORACLES["ft06_event_block"] = f"with {_base_sql(True)}, m as (select universe, strftime(d, '%Y-%m-%d') as d, round(lag(xa) {O}), 6) + 0.0 as eq_ret_lag1 from b) select m.universe, m.d, eq_ret_lag1, {', '.join(ET)} from m join ({ORACLES['seq07_event_features']}) e on e.universe = m.universe and e.d = m.d where eq_ret_lag1 is not null and {' and '.join(c + ' is not null' for c in ET)}"
+QUERIES["agg05_centroids"] = lambda spark, sf: metrics.centroids(load(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x")), ["label", "dim"], "x").select(F.col("label").cast("long").alias("label"), F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("centroid"), "n")
+ORACLES["agg05_centroids"] = "select cast(label as bigint) as label, cast(dim as bigint) as dim, round(avg(x), 6) as centroid, count(*) as n from (select label, unnest(range(0, len(embedding))) as dim, cast(unnest(embedding) as double) as x from embeddings) t group by 1, 2"
+
+# --- the panel that grows with the tables: a universe is a supplier, a row a month -----------------------------------
+
+add("gp01_windows", on_suppliers(lambda b: (lambda w: b.select("universe", "d", W.mean(F.col("v"), W.Frame(12, 10, 1), w).alias("m"), W.zscore(F.col("v"), W.Frame(24, 12, 1), w).alias("z"), W.drawdown_from_high(F.col("fa"), W.Frame(24, 10, 1), w).alias("dd")))(S.series())), f"select universe, d, case when count(v) {O} {fr(12)} >= 10 then avg(v) {O} {fr(12)} end as m, case when count(v) {O} {fr(24)} >= 12 and stddev_pop(v) {O} {fr(24)} > 0 then (lag(v) {O}) - avg(v) {O} {fr(24)}) / stddev_pop(v) {O} {fr(24)} end as z, case when count(fa) {O} {fr(24)} >= 10 then ln(lag(fa) {O}) / max(fa) {O} {fr(24)}) end as dd from b", doubles="m,z,dd", region="supplier")
+add("gp02_turbulence", on_suppliers(lambda b: walkforward.turbulence(vectors(b), X, 48, MP, "ledoit-wolf", 1, flip=("xr",)).filter("turbulence is not null")), "select universe, d, ca + cn + cr as turbulence, shrinkage from tb where ca is not null", doubles="turbulence,shrinkage", digits=5, ctes=_mom_sql(48, True), region="supplier")
+add("gp03_auc", on_suppliers(lambda b: metrics.roc_auc(forecasts(b), ["universe"])), "select universe, (sum(r) filter (y = 1) - n1 * (n1 + 1) / 2.0) / nullif(n1 * (n - n1), 0) as auc, n from (select *, rank() over (partition by universe order by p) + (count(*) over (partition by universe, p) - 1) / 2.0 as r, sum(y) over (partition by universe) as n1, count(*) over (partition by universe) as n from fc where y is not null and p is not null) t group by universe, n1, n", keys="universe", ints="n", doubles="auc", ctes=FC, region="supplier")
+def _rising(b):
+    """Whether the next month's intensity is higher."""
+    df, cols = _xy(b)
+    up = b.select("universe", "d", (F.lead("v").over(S.series()) > F.col("v")).cast("int").alias("y"))
+    return df.drop("y").join(up, ["universe", "d"]), cols
+
+
+add("gp04_walk_forward", lambda spark, sf: (lambda df, cols: learning.walk_forward(df, cols, _refits(spark), ("logistic_l1",), 4, 30, 5)[0])(*_rising(base(spark, sf, by_supplier=True))), None, doubles="p")
 
 # --- stream tables --------------------------------------------------------------------------------------------------
 

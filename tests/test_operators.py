@@ -5,7 +5,9 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from gustline.functions import scalars
 from gustline.operators import causality, eventclock, features, inference, learning, metrics, regimes, relevance, splits, typology, walkforward
 from gustline.plans import panel
 
@@ -265,3 +267,126 @@ def test_entry_runs(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+def test_forest_learns_keeps_its_limits_and_repeats():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(900, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)  # no linear model sees it
+    f = learning.Forest(x[:600], y[:600], trees=100)
+    assert learning._auc(y[600:], f.predict(x[600:])) > 0.9
+    assert np.array_equal(f.predict(x), learning.Forest(x[:600], y[:600], trees=100).predict(x))
+    assert (learning.Forest(x[:39], y[:39], trees=5).feature == -1).all()  # two leaves of 20 do not fit
+    # a depth of one: each tree is the best of the tried splits over its drawn rows
+    g = learning.Forest(x[:, :1], (x[:, 0] > 0.5).astype(float), trees=20, depth=1)
+    assert (g.feature[:, 0] == 0).all() and all(abs(g.edges[0][c] - 0.5) < 0.1 for c in g.cut[:, 0])
+
+
+def test_calibrated_svm_gives_probabilities():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3000, 2))
+    true = 1 / (1 + np.exp(-2 * x[:, 0]))
+    y = (r.random(3000) < true).astype(float)
+    p = learning.calibrated_svm(x[:2000], y[:2000], x[2000:])
+    assert np.abs(p - true[2000:]).mean() < 0.05
+    raw = r.normal(size=4000)
+    a, b = learning.fit_sigmoid(raw, (r.random(4000) < 1 / (1 + np.exp(-(3 * raw - 1)))).astype(float))
+    assert abs(a - 3) < 0.3 and abs(b + 1) < 0.2
+    assert np.isfinite(learning.calibrated_svm(x[:5], np.array([1.0, 0, 0, 0, 0]), x[:5])).all()
+
+
+def _supervised(spark, n=900, k=2):
+    r = np.random.default_rng(5)
+    days = pd.bdate_range("2015-01-01", periods=n)
+    rows = []
+    for u in range(k):
+        x = r.normal(size=(n, 2))
+        y = (x[:, 0] + 0.3 * r.normal(size=n) > 0).astype(float)
+        y[-5:] = np.nan
+        rows += [(f"u{u}", d.date(), float(a), float(b), None if np.isnan(t) else float(t)) for d, (a, b), t in zip(days, x, y)]
+    return spark.createDataFrame(rows, "universe string, d date, x1 double, x2 double, y double"), days
+
+
+@pytest.mark.parametrize("calendar", [False, True])
+def test_walk_forward_equals_a_loop_over_refits(spark, calendar):
+    df, days = _supervised(spark)
+    asofs = [days[300].date(), days[420].date(), days[700].date()]
+    refits = spark.createDataFrame([(a,) for a in asofs], "asof date")
+    models = ("random_forest", "logistic_l1", "elastic_net", "linear_svm")
+    got, log = learning.walk_forward(df.repartition(5), ["x1", "x2"], refits, models, 21, 100, calendar_compat=calendar)
+    got = got.toPandas()
+    pdf = df.toPandas().sort_values(["universe", "d"])
+    assert len(got) == 2 * 4 * (900 - 301)
+    for u in ("u0", "u1"):
+        own = pdf[pdf["universe"] == u].reset_index(drop=True)
+        for k, a in enumerate(asofs):
+            at = own.index[own["d"] == a][0]
+            train = own[(own["d"] < a - pd.Timedelta(days=21)) if calendar else own.index <= at - 21]
+            train = train[train["y"].notna()]
+            block = own[(own["d"] > a) & ((own["d"] <= asofs[k + 1]) if k + 1 < len(asofs) else True)]
+            for m in models:
+                want = learning.predict_small(m, train[["x1", "x2"]].to_numpy(), train["y"].to_numpy(), block[["x1", "x2"]].to_numpy())
+                mine = got[(got["universe"] == u) & (got["model"] == m) & got["d"].isin(block["d"])].sort_values("d")
+                assert np.allclose(mine["p"], want)
+    log = log.toPandas()
+    assert len(log) == 2 * 4 * 3 and (pd.to_datetime(log["train_end"]) < pd.to_datetime(log["asof"])).all()
+
+
+def test_cutoff_sweep_refits_after_each_cutoff(spark, tmp_path):
+    df, days = _supervised(spark)
+    refits = spark.createDataFrame([(days[i].date(),) for i in (360, 480, 600, 720)], "asof date")
+    cuts = [days[300].date(), days[500].date(), days[880].date()]
+    sweep = lambda: learning.cutoff_sweep(df.repartition(4), ["x1", "x2"], spark.createDataFrame([(c,) for c in cuts], "cutoff date"), refits, ("logistic_l1",), 21, 100)
+    got = {(r["universe"], r["cutoff"]): r for r in sweep().collect()}
+    assert {c for _, c in got} == set(cuts[:2])  # too little is left after the last
+    assert got["u0", cuts[0]]["n_refits"] == 5 and got["u0", cuts[1]]["n_refits"] == 3
+    for c in cuts[:2]:
+        later = [(c,), *[(r["asof"],) for r in refits.collect() if r["asof"] > c]]
+        one = learning.walk_forward(df, ["x1", "x2"], spark.createDataFrame(later, "asof date"), ("logistic_l1",), 21, 100)[0].filter("y is not null").toPandas()
+        for u, g in one.groupby("universe"):
+            assert got[u, c]["n"] == len(g) and np.isclose(got[u, c]["brier"], ((g["p"] - g["y"]) ** 2).mean())
+            assert np.isclose(got[u, c]["auc"], learning._auc(g["y"].to_numpy(), g["p"].to_numpy()))
+    calls = []
+    make = lambda: (calls.append(1), sweep())[1]
+    first = learning.cached_sweep(str(tmp_path), {"purge": 21}, make, spark).collect()
+    again = learning.cached_sweep(str(tmp_path), {"purge": 21}, make, spark).collect()
+    assert len(calls) == 1 and sorted(first) == sorted(again)
+    learning.cached_sweep(str(tmp_path), {"purge": 5}, make, spark)
+    assert len(calls) == 2
+
+
+def test_prediction_grid_does_not_depend_on_partitions(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(300, 3))
+    pdf = pd.DataFrame({"universe": "u", "pos": np.arange(300), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": x @ np.array([1, -0.5, 0.25])})
+    df = spark.createDataFrame(pdf)
+    cells = lambda d: sorted(map(tuple, relevance.grid_cells(d, ["a", "b", "c"], "y", relevance.subsets(["a", "b", "c"], 4), (0.0, 0.5), 64, order=["universe", "pos"]).select("subset_id", "censor", "adjusted_fit", "mean_prediction", "n_eval").collect()))
+    assert cells(df) == cells(df.repartition(7)) == cells(df.orderBy(F.rand(3)).repartition(3))
+    # one cell by hand
+    t = relevance.Training.of(df.repartition(5), ["a", "b", "c"], "y", ["universe", "pos"])
+    assert np.array_equal(t.x, x)
+    xt, inv = x[0], np.linalg.pinv(np.cov(x.T))
+    want = [0.5 * (v - x.mean(0)) @ inv @ (v - x.mean(0)) - 0.5 * (v - xt) @ inv @ (v - xt) for v in x]
+    assert np.allclose(relevance.relevance(t, xt), want)
+
+
+def test_normal_distribution_function(spark):
+    import math
+
+    z = [-38.0, -9.0, -3.5355339, -3.5, -1.0, -1e-9, 0.0, 0.3, 2.0, 3.6, 8.0, None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(scalars.normal_cdf(F.col("z"))).collect()]
+    assert got[-1] is None and all(math.isclose(g, 0.5 * math.erfc(-x / math.sqrt(2)), rel_tol=1e-10) for g, x in zip(got[:-1], z[:-1]))
+
+
+def test_blocks_joined_on_the_feature_matrix(spark):
+    days = pd.bdate_range("2020-01-01", periods=30)
+    m = spark.createDataFrame([("u", d.date(), i, 1.0 * i, 2.0, 3.0) for i, d in enumerate(days)], "universe string, d date, pos int, turb_lag1 double, regime_ma21 double, eq double")
+    labels = m.select("universe", "d", "pos", (F.col("pos") % 3).alias("k"))
+    got = features.gmm_features(m, labels, "k", 3).orderBy("pos").collect()
+    assert set(got[0].asDict()) == {"universe", "d", "pos", "eq", "gmm_regime_lag1", "gmm_regime_ma21", "gmm_k_1", "gmm_k_2"}
+    assert got[0]["gmm_regime_lag1"] is None and [g["gmm_regime_lag1"] for g in got[1:5]] == [0, 1, 2, 0] and [g["gmm_k_2"] for g in got[1:5]] == [0, 0, 1, 0]
+    assert got[9]["gmm_regime_ma21"] is None and got[10]["gmm_regime_ma21"] == np.mean([i % 3 for i in range(10)])
+    ev = labels.select("universe", "d", F.when(F.col("pos") > 4, F.col("pos") * 2.0).alias("et"))
+    assert [r["et"] for r in features.event_block(m, ev, ["et"]).orderBy("pos").collect()] == [2.0 * i for i in range(5, 30)]
+    with pytest.raises(ValueError):
+        features.correction_label(F.lit(-0.1), 1.5)
