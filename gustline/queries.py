@@ -156,8 +156,7 @@ def _prj10b(b):
 
 
 add("prj10_log_ratio", on_base(_prj10b), "select universe, d, ln(fn) - (ln(fa) + ln(fn) + ln(fr)) / 3 as clr_n from b", doubles="clr_n")
-add("flt01_complete_rows", on_base(lambda b: panel.complete(b.withColumn("u", F.when(F.col("pos") % 3 > 0, F.col("xa"))), ["u", "xn"], "any").groupBy("universe").agg(F.count("*").alias("n"))), "select universe, count(*) as n from b where pos % 3 > 0 and xa is not null and xn is not null group by 1", keys="universe", ints="n")
-add("flt01_complete_rows_whole", on_base(lambda b: panel.complete(b, ["xa", "xn"], "any").groupBy("universe").agg(F.count("*").alias("n"))), "select universe, count(*) as n from b where xa is not null and xn is not null group by 1", keys="universe", ints="n")
+add("flt01_complete_rows", on_base(lambda b: panel.complete(b, ["xa", "xn"], "any").groupBy("universe").agg(F.count("*").alias("n"))), "select universe, count(*) as n from b where xa is not null and xn is not null group by 1", keys="universe", ints="n")
 add("flt02_date_slice", on_base(lambda b: b.filter(F.col("d").between("1998-01-05", "1998-12-28"))), "select * from b where d between date '1998-01-05' and date '1998-12-28'", ints="pos", doubles="v")
 
 
@@ -182,29 +181,16 @@ add("flt04_membership", on_base(lambda b: b.join(typology.at_starts(b.select("un
 # --- joins and sets -------------------------------------------------------------------------------------------------
 
 
-def _halves(b):
-    l = b.filter("pos % 2 = 0").select("universe", "d", F.col("xa").alias("l"))  # noqa: E741
-    r = b.filter("pos % 3 = 0").select("universe", "d", F.col("xn").alias("r"))
-    return l, r
-
-
-H = "l as (select universe, d, xa as l from b where pos % 2 = 0), r as (select universe, d, xn as r from b where pos % 3 = 0)"
-add("jn01_inner_align", on_base(lambda b: panel.inner_align(*_halves(b))), "select l.universe, l.d, l, r from l join r on l.universe = r.universe and l.d = r.d where l is not null and r is not null", doubles="l,r", ctes=H)
-add("jn03_outer_align", on_base(lambda b: panel.outer_align(*_halves(b))), "select coalesce(l.universe, r.universe) as universe, coalesce(l.d, r.d) as d, l, r from l full join r on l.universe = r.universe and l.d = r.d", doubles="l,r", ctes=H)
-add("jn04_left_on_spine", on_base(lambda b: panel.on_spine(b.select("universe", "d"), _halves(b)[1])), "select b.universe, b.d, r from b left join r on b.universe = r.universe and b.d = r.d", doubles="r", ctes=H)
-add("jn05_coalesce_sources", on_base(lambda b: panel.coalesce_join(_halves(b)[0].withColumnRenamed("l", "value"), [_halves(b)[1].withColumnRenamed("r", "value")])), "select coalesce(l.universe, r.universe) as universe, coalesce(l.d, r.d) as d, coalesce(l, r) as value from l full join r on l.universe = r.universe and l.d = r.d", doubles="value", ctes=H)
-
-
 def _sources(b):
     return b.filter("v > 0.2").select("universe", "d", F.col("xa").alias("l")), b.filter("xa > 0").select("universe", "d", F.col("xn").alias("r"))
 
 
 # two sources that differ by content, over all rows
 HS = "l as (select universe, d, xa as l from b where v > 0.2), r as (select universe, d, xn as r from b where xa > 0)"
-add("jn01_inner_align_whole", on_base(lambda b: panel.inner_align(*_sources(b))), "select l.universe, l.d, l, r from l join r on l.universe = r.universe and l.d = r.d where l is not null and r is not null", doubles="l,r", ctes=HS)
-add("jn03_outer_align_whole", on_base(lambda b: panel.outer_align(*_sources(b))), "select coalesce(l.universe, r.universe) as universe, coalesce(l.d, r.d) as d, l, r from l full join r on l.universe = r.universe and l.d = r.d", doubles="l,r", ctes=HS)
-add("jn04_left_on_spine_whole", on_base(lambda b: panel.on_spine(b.select("universe", "d"), _sources(b)[1])), "select b.universe, b.d, r from b left join r on b.universe = r.universe and b.d = r.d", doubles="r", ctes=HS)
-add("jn05_coalesce_sources_whole", on_base(lambda b: panel.coalesce_join(_sources(b)[0].withColumnRenamed("l", "value"), [_sources(b)[1].withColumnRenamed("r", "value")])), "select coalesce(l.universe, r.universe) as universe, coalesce(l.d, r.d) as d, coalesce(l, r) as value from l full join r on l.universe = r.universe and l.d = r.d", doubles="value", ctes=HS)
+add("jn01_inner_align", on_base(lambda b: panel.inner_align(*_sources(b))), "select l.universe, l.d, l, r from l join r on l.universe = r.universe and l.d = r.d where l is not null and r is not null", doubles="l,r", ctes=HS)
+add("jn03_outer_align", on_base(lambda b: panel.outer_align(*_sources(b))), "select coalesce(l.universe, r.universe) as universe, coalesce(l.d, r.d) as d, l, r from l full join r on l.universe = r.universe and l.d = r.d", doubles="l,r", ctes=HS)
+add("jn04_left_on_spine", on_base(lambda b: panel.on_spine(b.select("universe", "d"), _sources(b)[1])), "select b.universe, b.d, r from b left join r on b.universe = r.universe and b.d = r.d", doubles="r", ctes=HS)
+add("jn05_coalesce_sources", on_base(lambda b: panel.coalesce_join(_sources(b)[0].withColumnRenamed("l", "value"), [_sources(b)[1].withColumnRenamed("r", "value")])), "select coalesce(l.universe, r.universe) as universe, coalesce(l.d, r.d) as d, coalesce(l, r) as value from l full join r on l.universe = r.universe and l.d = r.d", doubles="value", ctes=HS)
 
 
 def _asof(b):
@@ -243,8 +229,7 @@ add("agg03_monthly_shares", on_base(lambda b: metrics.monthly_shares(b, ["fa", "
 add("agg06_moments", on_base(lambda b: metrics.moments(b, ["universe"], "xa")), "select universe, n, skew, kurt, n / 6.0 * (skew ** 2 + kurt ** 2 / 4) as jarque_bera from (select universe, count(*) as n, avg((xa - m) ** 3) / avg((xa - m) ** 2) ** 1.5 as skew, avg((xa - m) ** 4) / avg((xa - m) ** 2) ** 2 - 3 as kurt from (select *, avg(xa) over (partition by universe) as m from b where xa is not null) t group by 1) u", keys="universe", ints="n", doubles="skew,kurt,jarque_bera", digits=5)
 add("agg06_kl_to_normal", on_base(lambda b: metrics.kl_to_normal(b, ["universe"], "xa")), None, keys="universe", doubles="kl")
 add("agg07_correlations", on_base(lambda b: metrics.correlations(b, ["universe"], "xa", "xn")), "select universe, corr(xa, xn) as pearson, corr(ra, rn) as spearman from (select *, rank() over (partition by universe order by xa) + (count(*) over (partition by universe, xa) - 1) / 2.0 as ra, rank() over (partition by universe order by xn) + (count(*) over (partition by universe, xn) - 1) / 2.0 as rn from b where xa is not null and xn is not null) t group by 1", keys="universe", doubles="pearson,spearman")
-add("agg07_kendall", on_base(lambda b: metrics.kendall(b.filter("pos between 1 and 60").withColumn("item", F.col("pos")), ["universe"], "item", "xa", "xn")), "select x.universe, sum(sign(x.xa - y.xa) * sign(x.xn - y.xn)) / sqrt(sum(abs(sign(x.xa - y.xa))) * sum(abs(sign(x.xn - y.xn)))) as tau from b x join b y on x.universe = y.universe and x.pos < y.pos where x.pos between 1 and 60 and y.pos between 1 and 60 group by 1", keys="universe", doubles="tau")
-add("agg07_kendall_whole", on_base(lambda b: metrics.kendall(b, ["universe"], "pos", "xa", "xn")), "select x.universe, sum(sign(x.xa - y.xa) * sign(x.xn - y.xn)) / sqrt(sum(abs(sign(x.xa - y.xa))) * sum(abs(sign(x.xn - y.xn)))) as tau from b x join b y on x.universe = y.universe and x.pos < y.pos group by 1", keys="universe", doubles="tau")
+add("agg07_kendall", on_base(lambda b: metrics.kendall(b, ["universe"], "pos", "xa", "xn")), "select x.universe, sum(sign(x.xa - y.xa) * sign(x.xn - y.xn)) / sqrt(sum(abs(sign(x.xa - y.xa))) * sum(abs(sign(x.xn - y.xn)))) as tau from b x join b y on x.universe = y.universe and x.pos < y.pos group by 1", keys="universe", doubles="tau")
 add("agg08_confusion", on_base(lambda b: metrics.confusion(forecasts(b), ["universe"], cut=0.2)), "select universe, count(*) filter (p >= 0.2 and y = 1) as tp, count(*) filter (p >= 0.2 and y = 0) as fp, count(*) filter (p < 0.2 and y = 1) as fn, count(*) filter (p < 0.2 and y = 0) as tn from fc where y is not null and p is not null group by 1", keys="universe", ints="tp,fp,fn,tn", ctes=FC)
 add("agg08_top_decile", on_base(lambda b: metrics.top_decile(forecasts(b), ["universe"])), "select f.universe, t.threshold, count(*) filter (p >= threshold and y = 1) as tp, count(*) filter (p >= threshold and y = 0) as fp, count(*) filter (p < threshold and y = 1) as fn from fc f join (select universe, quantile_cont(p, 0.9) as threshold from fc where y is not null and p is not null group by 1) t on t.universe = f.universe where y is not null and p is not null group by 1, 2", keys="universe", ints="tp,fp,fn", doubles="threshold", ctes=FC)
 add("agg09_roc_auc", on_base(lambda b: metrics.roc_auc(forecasts(b), ["universe"])), "select universe, (sum(r) filter (y = 1) - n1 * (n1 + 1) / 2.0) / (n1 * (n - n1)) as auc, n from (select *, rank() over (partition by universe order by p) + (count(*) over (partition by universe, p) - 1) / 2.0 as r, sum(y) over (partition by universe) as n1, count(*) over (partition by universe) as n from fc where y is not null and p is not null) t group by universe, n1, n", keys="universe", ints="n", doubles="auc", ctes=FC)
@@ -311,6 +296,23 @@ tb as (select universe, d, pos, alpha as shrinkage, da, dn, dr, da * ((e * i - f
  dn * ((c * f - b_ * i) * da + (a * i - c * c) * dn + (b_ * c - a * f) * dr) / det as cn, dr * ((b_ * f - c * e) * da + (b_ * c - a * f) * dn + (a * e - b_ * b_) * dr) / det as cr from iv)"""
 
 
+def _top_eigenvalue(a, b, c, e, f, i) -> str:
+    """The largest eigenvalue of the symmetric matrix a b c, b e f, c f i, in closed form."""
+    q = f"(({a}) + ({e}) + ({i})) / 3"
+    p = f"sqrt((pow(({a}) - {q}, 2) + pow(({e}) - {q}, 2) + pow(({i}) - {q}, 2) + 2 * (pow({b}, 2) + pow({c}, 2) + pow({f}, 2))) / 6)"
+    x, y, z = (f"(({v}) - {q})" for v in (a, e, i))
+    det = f"({x} * ({y} * {z} - ({f}) * ({f})) - ({b}) * (({b}) * {z} - ({f}) * ({c})) + ({c}) * (({b}) * ({f}) - {y} * ({c})))"
+    return f"({q} + 2 * {p} * cos(acos(greatest(-1.0, least(1.0, {det} / pow({p}, 3) / 2))) / 3))"
+
+
+def _absorption_sql(step: int) -> str:
+    """Correlations of the window, their shrinkage and the share of the largest eigenvalue."""
+    four = f"(select sum(pow(pow((c.xa - t.mu_xa) / sqrt(t.s_xaxa), 2) + pow((c.xn - t.mu_xn) / sqrt(t.s_xnxn), 2) + pow((c.xr - t.mu_xr) / sqrt(t.s_xrxr), 2), 2)) from b c where c.universe = t.universe and c.xa is not null and c.pos between t.pos - {LB} and t.pos - 1)"
+    return f"""co as (select universe, pos, m, case when m >= {MP} then s_xaxn / sqrt(s_xaxa * s_xnxn) end as p, case when m >= {MP} then s_xaxr / sqrt(s_xaxa * s_xrxr) end as q, case when m >= {MP} then s_xnxr / sqrt(s_xnxn * s_xrxr) end as r, case when m >= {MP} then {four} end as f4 from mo t where pos % {step} = 0 and pos >= 1),
+sh as (select *, 3 + 2 * (p * p + q * q + r * r) as sq, 2 * (p * p + q * q + r * r) / 3 as dl from co),
+ar as (select universe, pos, greatest(0, least((f4 / m - sq) / (3 * m), dl)) / dl as alpha, {_top_eigenvalue("1.0", "p", "q", "1.0", "r", "1.0")} as top from sh)"""
+
+
 def _turb(b, shrink="ledoit-wolf", lookback=LB, refit=1):
     return walkforward.turbulence(vectors(b), X, lookback, MP, shrink, refit, flip=("xr",))
 
@@ -331,11 +333,11 @@ def _cov(b):
 
 
 add("wf08_covariance_history", on_base(_cov), "select universe, pos as refit_pos, mu_xa as mu_a, a * 1e4 as v_aa, b_ * 1e4 as v_an, i * 1e4 as v_rr, alpha as shrinkage from cv where pos % 21 = 0", keys="universe", ints="refit_pos", doubles="mu_a,v_aa,v_an,v_rr,shrinkage", ctes=_mom_sql(LB, True))
-add("wf04_absorption_ratio", on_base(lambda b: walkforward.absorption_ratio(vectors(b), X, 1, LB, MP, 4)), None, keys="universe", ints="refit_pos", doubles="absorption")
+add("wf04_absorption_ratio", on_base(lambda b: walkforward.absorption_ratio(vectors(b), X, 1, LB, MP, 4)), "select universe, pos as refit_pos, ((1 - alpha) * top + alpha) / 3 as absorption from ar", keys="universe", ints="refit_pos", doubles="absorption", ctes=_mom_sql(LB, True) + ", " + _absorption_sql(4))
 add("wf05_absorption_shift", on_base(lambda b: walkforward.absorption_shift(walkforward.absorption_ratio(vectors(b), X, 1, LB, MP, 4).withColumnRenamed("refit_pos", "pos").filter("absorption is not null"), fast=5, slow=20)), None, keys="universe", ints="pos", doubles="absorption_shift")
 Z = "case when count({c}) over g >= 26 and stddev_{k}({c}) over g > 0 then ({c} - avg({c}) over g) / stddev_{k}({c}) over g end"
 add("wf06_standardiser", on_base(lambda b: walkforward.rolling_standardise(b, ["xa", "xn"], 52, 26)), f"select universe, d, {Z.format(c='xa', k='pop')} as xa, {Z.format(c='xn', k='pop')} as xn from b window g as (partition by universe order by pos rows between 52 preceding and 1 preceding)", doubles="xa,xn")
-add("wf07_rolling_pca", on_base(lambda b: walkforward.rolling_pca(vectors(b), X, 2, LB, MP, 26).select("universe", "refit_pos", F.get("explained", F.lit(0)).alias("share1"))), None, keys="universe", ints="refit_pos", doubles="share1")
+add("wf07_rolling_pca", on_base(lambda b: walkforward.rolling_pca(vectors(b), X, 2, LB, MP, 26).select("universe", "refit_pos", F.get("explained", F.lit(0)).alias("share1"))), f"select universe, pos as refit_pos, {_top_eigenvalue('s_xaxa', 's_xaxn', 's_xaxr', 's_xnxn', 's_xnxr', 's_xrxr')} / (s_xaxa + s_xnxn + s_xrxr) as share1 from mo where pos % 26 = 0 and pos >= 1 and m >= {MP}", keys="universe", ints="refit_pos", doubles="share1", ctes=_mom_sql(LB, True))
 add("wf07_pca_scores", on_base(lambda b: walkforward.pca_scores(vectors(b), walkforward.rolling_pca(vectors(b), X, 2, LB, MP, 26), 26).select("universe", "d", F.get("scores", F.lit(0)).alias("score1"))), None, doubles="score1")
 add("wf09_surprise", on_base(lambda b: walkforward.magnitude_surprise(b, X, _turb(b), LB, MP).filter("turbulence is not null")), f"select tb.universe, tb.d, z.xa ** 2 + z.xn ** 2 + z.xr ** 2 as magnitude, (ca + cn + cr) / (z.xa ** 2 + z.xn ** 2 + z.xr ** 2) as correlation_surprise from tb join (select universe, d, {Z.format(c='xa', k='samp')} as xa, {Z.format(c='xn', k='samp')} as xn, {Z.format(c='xr', k='samp')} as xr from b window g as (partition by universe order by pos rows between {LB} preceding and 1 preceding)) z on z.universe = tb.universe and z.d = tb.d where ca is not null", doubles="magnitude,correlation_surprise", ctes=_mom_sql(LB, True))
 add("wf10_univariate_turbulence", on_base(lambda b: walkforward.univariate_turbulence(b, "xa", 52, 26)), f"select universe, d, ({Z.format(c='xa', k='samp')}) ** 2 as uni_turbulence from b window g as (partition by universe order by pos rows between 52 preceding and 1 preceding)", doubles="uni_turbulence")
@@ -344,6 +346,10 @@ add("wf11_fixed_covariance", on_base(lambda b: walkforward.fixed_contributions(v
  from (select b.universe, b.d, xa - ma as da, xn - mn as dn, xr - mr as dr, s.*, a * (e * i - f * f) - g * (g * i - f * c) + c * (g * f - e * c) as det from b join (select universe as u, avg(xa) as ma, avg(xn) as mn, avg(xr) as mr, var_pop(xa) as a, covar_pop(xa, xn) as g, covar_pop(xa, xr) as c, var_pop(xn) as e, covar_pop(xn, xr) as f, var_pop(xr) as i from b group by 1) s on s.u = b.universe where xa is not null) t""", doubles="c_a,total")
 add("wf12_gmm", on_base(lambda b: walkforward.walk_forward_gmm(vectors(b).filter("x is not null"), X, 3, 104, 104, n_init=2)[0].select("universe", "pos", "label")), None, keys="universe", ints="pos,label")
 add("wf13_label_alignment", on_base(lambda b: walkforward.walk_forward_gmm(vectors(b).filter("x is not null"), X, 3, 104, 104, n_init=2)[1].select("universe", "refit_pos", F.concat_ws(",", "perm").alias("perm"))), None, keys="universe,perm", ints="refit_pos")
+def _regime_sql(q: float, window: int) -> str:
+    return f"case when v is null or count(v) {O} rows between {window} preceding and 1 preceding) < {MP} then null when round(v, 9) > round(quantile_cont(v, {q}) {O} rows between {window} preceding and 1 preceding), 9) then 1 else 0 end"
+
+
 REG = f"case when v is null or count(v) {O} rows between {LB} preceding and 1 preceding) < {MP} then null when round(v, 9) > round(quantile_cont(v, 0.75) {O} rows between {LB} preceding and 1 preceding), 9) then 1 else 0 end"
 add("wf14_regime", on_base(lambda b: regimes.threshold_regime(b, "v", 0.75, LB, MP, digits=9)), f"select universe, d, {REG} as regime from b", ints="regime")
 BQ = " + ".join(f"(round(lag(v) {O}), 9) > round(quantile_cont(v, {k / 5}) {O} rows between {LB} preceding and 1 preceding), 9))::int" for k in range(1, 5))
@@ -479,8 +485,7 @@ al_ as (select b.universe, b.d, b.pos, tw.ca, tw.cn, tw.cr from b left join tw o
 pv as (select universe, d, avg(ca) over h / (avg(ca) over h + avg(cn) over h + avg(cr) over h) as pa, avg(cn) over h / (avg(ca) over h + avg(cn) over h + avg(cr) over h) as pn, avg(cr) over h / (avg(ca) over h + avg(cn) over h + avg(cr) over h) as pr from al_ window h as (partition by universe order by d rows between 8 preceding and 1 preceding))"""
 CT = _mom_sql(LB, True) + ", " + EPI + ", " + PRE
 add("in06_null_mean", on_base(lambda b: inference.null_mean_cosine(_pairs(b), "pre", "composition")), "select avg((x.pa * y.a + x.pn * y.n + x.pr * y.r) / (sqrt(x.pa ** 2 + x.pn ** 2 + x.pr ** 2) * sqrt(y.a ** 2 + y.n ** 2 + y.r ** 2))) as null_mean from (select pv.* from pv join cp on cp.universe = pv.universe and cp.start_ = pv.d where pa is not null) x, (select cp.* from pv join cp on cp.universe = pv.universe and cp.start_ = pv.d where pa is not null) y", keys="", doubles="null_mean", ctes=CT)
-add("in07_sign_flip_exact", on_base(lambda b: inference.sign_flip(b.filter("universe = 'ASIA' and pos between 1 and 10"), "xa")), "select any_value(m) as mean, avg((s / 10 >= m - 1e-12)::int) as p_value, 10 as n from (select k, sum(case when (k >> cast(i as integer)) & 1 = 1 then xa else -xa end) as s from (select cast(range as integer) as k from range(0, 1024)), (select xa, row_number() over (order by d) - 1 as i from b where universe = 'ASIA' and pos between 1 and 10) x group by 1) z, (select avg(xa) as m from b where universe = 'ASIA' and pos between 1 and 10) a", keys="", ints="n", doubles="mean,p_value")
-add("in07_sign_flip_exact_years", on_base(lambda b: inference.sign_flip(b.filter("xa is not null").groupBy(F.year("d").alias("yr")).agg(F.avg("xa").alias("xa")), "xa")), "select any_value(m) as mean, avg((s / n >= m - 1e-12)::int) as p_value, any_value(n) as n from (select k, sum(case when (k >> cast(i as integer)) & 1 = 1 then xa else -xa end) as s from (select cast(range as integer) as k from range(0, (select 1 << count(*) from yx))), (select xa, row_number() over (order by yr) - 1 as i from yx) group by 1) z, (select avg(xa) as m, count(*) as n from yx) a", keys="", ints="n", doubles="mean,p_value", ctes="yx as (select year(d) as yr, avg(xa) as xa from b where xa is not null group by 1)")
+add("in07_sign_flip_exact", on_base(lambda b: inference.sign_flip(b.filter("xa is not null").groupBy(F.year("d").alias("yr")).agg(F.avg("xa").alias("xa")), "xa")), "select any_value(m) as mean, avg((s / n >= m - 1e-12)::int) as p_value, any_value(n) as n from (select k, sum(case when (k >> cast(i as integer)) & 1 = 1 then xa else -xa end) as s from (select cast(range as integer) as k from range(0, (select 1 << count(*) from yx))), (select xa, row_number() over (order by yr) - 1 as i from yx) group by 1) z, (select avg(xa) as m, count(*) as n from yx) a", keys="", ints="n", doubles="mean,p_value", ctes="yx as (select year(d) as yr, avg(xa) as xa from b where xa is not null group by 1)")
 add("in07_sign_flip", on_base(lambda b: inference.sign_flip(b.filter("xa is not null"), "xa")), None, keys="", ints="n", doubles="mean,p_value")
 add("in07_episode_interval", on_base(lambda b: inference.episode_interval(_episodes(b), "mean_turb")), None, keys="", ints="n", doubles="mean,lo,hi")
 add("in08_cluster_tests", on_base(lambda b: inference.cluster_interval(regimes.clusters(_episodes(b)).withColumn("c", F.concat("universe", F.col("cluster").cast("string"))), "mean_turb", "c")), None, keys="", ints="n", doubles="mean,lo,hi")
@@ -488,8 +493,7 @@ add("in08_t_test", on_base(lambda b: inference.t_test(b, ["universe"], "xa")), "
 add("in08_wilcoxon", on_base(lambda b: inference.wilcoxon(b.filter("xa is not null"), ["universe"], "xa")), "select universe, sum(case when xa > 0 then r else 0 end) as w_plus, count(*) as n from (select *, rank() over (partition by universe order by abs(xa)) + (count(*) over (partition by universe, abs(xa)) - 1) / 2.0 as r from b where xa is not null and xa <> 0) t group by 1", keys="universe", ints="n", doubles="w_plus")
 add("in09_label_permutation", each_universe(lambda b, _: inference.label_permutation(b.filter("xa is not null").withColumn("g", F.col("pos") % 2 == 0), "xa", "g")), None, keys="universe", doubles="difference,p_value")
 add("in10_spearman_interval", each_universe(lambda b, _: inference.bootstrap_spearman(b.filter("xa is not null"), "xa", "xn", 8)), None, keys="universe", doubles="observed,lo,hi")
-add("in11_incremental_r2", on_base(lambda b: inference.incremental_r2(b.filter("universe = 'ASIA'"), "xa", ["xn"], ["xr"])), "select regr_r2(xa, xn) as r2_base from b where universe = 'ASIA' and xr is not null", keys="", doubles="r2_base")
-add("in11_incremental_r2_universes", each_universe(lambda b, _: inference.incremental_r2(b, "xa", ["xn"], ["xr"])), "select universe, ay * ay as r2_base, (ay * ay + az * az - 2 * ay * az * yz) / (1 - yz * yz) as r2_full, (ay * ay + az * az - 2 * ay * az * yz) / (1 - yz * yz) - ay * ay as r2_gain from (select universe, corr(xa, xn) as ay, corr(xa, xr) as az, corr(xn, xr) as yz from b where xa is not null and xn is not null and xr is not null group by 1) t", keys="universe", doubles="r2_base,r2_full,r2_gain")
+add("in11_incremental_r2", each_universe(lambda b, _: inference.incremental_r2(b, "xa", ["xn"], ["xr"])), "select universe, ay * ay as r2_base, (ay * ay + az * az - 2 * ay * az * yz) / (1 - yz * yz) as r2_full, (ay * ay + az * az - 2 * ay * az * yz) / (1 - yz * yz) - ay * ay as r2_gain from (select universe, corr(xa, xn) as ay, corr(xa, xr) as az, corr(xn, xr) as yz from b where xa is not null and xn is not null and xr is not null group by 1) t", keys="universe", doubles="r2_base,r2_full,r2_gain")
 
 # --- causality ------------------------------------------------------------------------------------------------------
 
@@ -579,7 +583,7 @@ add("ml07_calibrated", lambda spark, sf: (lambda df, cols: learning.walk_forward
 add("ml08_isotonic", on_base(lambda b: learning.calibrate_isotonic(*splits.dev_oos(forecasts(b).filter("p is not null and y is not null"), DEV_END))), None, doubles="calibrated")
 add("ml09_cutoff_sweep", lambda spark, sf: (lambda df, cols: learning.cutoff_sweep(df, cols, splits.month_ends(spark, "1996-12-01", "2000-12-31"), _quarters(spark), ("random_forest", "logistic_l1"), 4, 52))(*_xy(base(spark, sf))), None, keys="universe,model,cutoff", ints="n,n_refits", doubles="auc,brier")
 add("ml12_naive_baseline", on_base(lambda b: learning.naive_baseline(forecasts(b), ["universe"], "v")), "select universe, (sum(r) filter (y = 1) - n1 * (n1 + 1) / 2.0) / (n1 * (n - n1)) as auc, n from (select *, rank() over (partition by universe order by v) + (count(*) over (partition by universe, v) - 1) / 2.0 as r, sum(y) over (partition by universe) as n1, count(*) over (partition by universe) as n from fc where y is not null and v is not null) t group by universe, n1, n", keys="universe", ints="n", doubles="auc", ctes=FC)
-add("ml13_ablation", on_base(lambda b: learning.ablation(lambda q, window: regimes.threshold_regime(b, "v", q, window, MP, digits=9).groupBy("universe").agg(F.sum("regime").alias("hot")), {"q": 0.75, "window": LB}, {"q": (0.75, 0.9), "window": (LB, 52)}).withColumn("name", F.concat_ws("=", "knob", "value"))), None, keys="universe,name", ints="hot")
+add("ml13_ablation", on_base(lambda b: learning.ablation(lambda q, window: regimes.threshold_regime(b, "v", q, window, MP, digits=9).groupBy("universe").agg(F.sum("regime").alias("hot")), {"q": 0.75, "window": LB}, {"q": (0.75, 0.9), "window": (LB, 52)}).withColumn("name", F.concat_ws("=", "knob", "value"))), " union all ".join(f"select universe, '{name}' as name, sum(regime) as hot from (select universe, {_regime_sql(q, window)} as regime from b) t group by 1" for name, q, window in (("base=", 0.75, LB), ("q=0.9", 0.9, LB), ("window=52", 0.75, 52))), keys="universe,name", ints="hot")
 add("ml14_leave_one_out", lambda spark, sf: (lambda df, cols: learning.leave_one_out(lambda cs: learning.cutoff_sweep(df, cs, splits.month_ends(spark, "1996-12-01", "2000-12-31"), _quarters(spark), ("logistic_l1",), 4, 52), cols).withColumnRenamed("dropped", "name"))(*_xy(base(spark, sf))), None, keys="universe,name,cutoff", doubles="auc")
 
 add("ml15_coefficients", lambda spark, sf: (lambda df, cols: learning.coefficients(learning.train_one(df, cols, "logistic_l1", None, DEV_END)["model"], cols).withColumnRenamed("feature", "variable"))(*_xy(base(spark, sf))), None, keys="variable", doubles="weight")
@@ -625,7 +629,7 @@ add("gp04_walk_forward", lambda spark, sf: (lambda df, cols: learning.walk_forwa
 # --- stream tables --------------------------------------------------------------------------------------------------
 
 E5 = ("click", "purchase", "signup", "view", "error")
-add("sx01_windowed_counts", lambda spark, sf: load(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 10000).cast("long")).alias("total")).select(F.col("event_type").alias("kind"), F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("label"), "n", "total"), "select event_type as kind, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as label, count(*) as n, sum(cast(round(value * 10000) as bigint)) as total from events group by 1, 2", keys="kind,label", ints="n,total")
+add("sx01_windowed_counts", lambda spark, sf: online.windowed_counts(load(spark, sf, "events").withColumn("units", F.round(F.col("value") * 10000).cast("long")), "units").select(F.col("event_type").alias("kind"), F.date_format("start", "yyyy-MM-dd HH:mm").alias("label"), "n", "total"), "select event_type as kind, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as label, count(*) as n, sum(cast(round(value * 10000) as bigint)) as total from events group by 1, 2", keys="kind,label", ints="n,total")
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:

@@ -253,6 +253,43 @@ def test_streaming_clock_equals_batch(spark, tmp_path):
     assert got["n_rows"].tolist() == (e - s + 1).tolist()
 
 
+def _stream(spark, tmp_path, rows, schema, parts):
+    """A stream that reads ``rows`` in as many files, one a batch."""
+    for k, some in enumerate(parts):
+        spark.createDataFrame([rows[i] for i in some], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_streaming_smoother_equals_batch(spark, tmp_path):
+    from gustline.streaming import online
+
+    r = np.random.default_rng(10)
+    at = pd.date_range("2024-01-01", periods=60, freq="D")
+    rows = [(u, t.to_pydatetime(), None if r.random() < 0.1 else int(r.random() < 0.5)) for u in ("a", "b") for t in at]
+    parts = [[i for i in range(120) if i % 60 < 25], [i for i in range(120) if i % 60 >= 25]]
+    src = _stream(spark, tmp_path, rows, "universe string, ts timestamp, x int", parts)
+    online.run_once(online.smoother(src, "x", 3), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = {(g["universe"], g["ts"]): g["smoothed"] for g in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = spark.createDataFrame([(u, t.date(), x) for u, t, x in rows], "universe string, d date, x int").withColumn("pos", F.datediff("d", F.lit("2024-01-01")))
+    want = {(g["universe"], dt.datetime.combine(g["d"], dt.time())): g["smoothed"] for g in regimes.smooth_min_duration(batch, "x", 3).collect()}
+    assert len(got) == 120 and got == want
+
+
+def test_streaming_windows_and_sessions(spark, tmp_path):
+    from gustline.streaming import online
+
+    start = dt.datetime(2024, 1, 1)
+    hours = [0, 0.2, 0.9, 1.5, 6, 6.5, 0.5, 30, 60]  # the seventh comes last but one, when its window is closed
+    rows = [("u", start + dt.timedelta(hours=h), "click", k) for k, h in enumerate(hours)]
+    src = _stream(spark, tmp_path, rows, "universe string, ts timestamp, event_type string, n long", [[0, 1, 2, 3], [4, 5], [7], [6], [8]])
+    online.run_once(online.windowed_counts(src, "n"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = {int((g["start"] - start).total_seconds() // 3600): (g["n"], g["total"]) for g in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: (3, 3), 1: (1, 3), 6: (2, 9), 30: (1, 7)}  # the last window is still open
+    online.run_once(online.sessions(src.drop("n"), "2 hours", "1 hour"), str(tmp_path / "out2"), str(tmp_path / "cp2"))
+    got = {int((g["start"] - start).total_seconds() // 3600): (g["n"], (g["end"] - start).total_seconds() / 3600) for g in spark.read.parquet(str(tmp_path / "out2")).collect()}
+    assert got == {0: (4, 3.5), 6: (2, 8.5), 30: (1, 32.0)}
+
+
 def test_io_round_trip(spark, tmp_path):
     from gustline.sources import io
 
