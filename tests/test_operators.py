@@ -133,11 +133,11 @@ def test_queries_take_every_row(spark, sf):
 
     sf = sf.replace("sf0.001", "sf0.01")
     b = q.base(spark, sf).filter("xa is not null").selectExpr("universe", "pos", "year(d) yr", "xa", "xn").toPandas()
-    tau = {r["universe"]: r["tau"] for r in q.QUERIES["agg07_kendall_whole"](spark, sf).collect()}
+    tau = {r["universe"]: r["tau"] for r in q.QUERIES["agg07_kendall"](spark, sf).collect()}
     for u, g in b.groupby("universe"):
         s = np.sign(g["xa"].to_numpy()[:, None] - g["xa"].to_numpy()) * np.sign(g["xn"].to_numpy()[:, None] - g["xn"].to_numpy())
         assert len(g) > 60 and tau[u] == pytest.approx(s.sum() / (len(g) * (len(g) - 1)), abs=1e-6)
-    assert q.QUERIES["in07_sign_flip_exact_years"](spark, sf).first()["n"] == b["yr"].nunique()
+    assert q.QUERIES["in07_sign_flip_exact"](spark, sf).first()["n"] == b["yr"].nunique()
     rows = [(r["universe"], r["i"]) for r in q.QUERIES["rb01_relevance"](spark, sf).collect()]
     assert sorted(rows) == sorted(zip(b["universe"], b["pos"])) and len(rows) > 10
 
@@ -147,10 +147,10 @@ def test_alignments_take_every_row(spark, sf):
 
     sf = sf.replace("sf0.001", "sf0.01")
     b = q.base(spark, sf).select("v", "xa", "xn").toPandas()
-    n = {x: q.QUERIES[x + "_whole"](spark, sf).count() for x in ("jn01_inner_align", "jn03_outer_align", "jn04_left_on_spine", "jn05_coalesce_sources")}
+    n = {x: q.QUERIES[x](spark, sf).count() for x in ("jn01_inner_align", "jn03_outer_align", "jn04_left_on_spine", "jn05_coalesce_sources")}
     l, r = b["v"] > 0.2, b["xa"] > 0  # noqa: E741
     assert list(n.values()) == [(l & r).sum(), (l | r).sum(), len(b), (l | r).sum()]
-    assert sum(x["n"] for x in q.QUERIES["flt01_complete_rows_whole"](spark, sf).collect()) == len(b.dropna())
+    assert sum(x["n"] for x in q.QUERIES["flt01_complete_rows"](spark, sf).collect()) == len(b.dropna())
 
 
 def test_queries_take_every_universe(spark, sf):
@@ -159,7 +159,7 @@ def test_queries_take_every_universe(spark, sf):
     b = q.base(spark, sf).filter("xa is not null").select("universe", "pos", "v", "xa", "xn").toPandas()
     names = set(b["universe"])
     assert len(names) == 5
-    for name in ("in02_block_bootstrap", "in03_stationary_bootstrap", "in05_mean_difference", "in09_label_permutation", "in10_spearman_interval", "in11_incremental_r2_universes", "rb06_prediction_grid", "rb07_importance", "rb09_stability"):
+    for name in ("in02_block_bootstrap", "in03_stationary_bootstrap", "in05_mean_difference", "in09_label_permutation", "in10_spearman_interval", "in11_incremental_r2", "rb06_prediction_grid", "rb07_importance", "rb09_stability"):
         assert {r["universe"] for r in q.QUERIES[name](spark, sf).collect()} == names, name
     rows = [(r["universe"], r["pos"]) for r in q.QUERIES["rb04_predictions"](spark, sf).collect()]
     assert sorted(rows) == sorted(zip(b["universe"], b["pos"]))
