@@ -34,12 +34,17 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
+def hashes_of(words: Column) -> Column:
+    """A hash for each word: a window's hash is that of its words' hashes, so that every word's letters are read once."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def windows_of(benchmark: DataFrame, n: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """hash, words, items of every distinct window."""
     items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"), words_of(F.col(f"`{text_col}`")).alias("w")).filter("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
     each = items.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), n).alias("words"))
-    return each.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.xxhash64("words").alias("hash"), "words", "items")
+    return each.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.xxhash64(hashes_of(F.col("words"))).alias("hash"), "words", "items")
 
 
 def _bitmap(windows: DataFrame, count: int) -> tuple[Column, int]:
@@ -68,12 +73,13 @@ def _hits(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col:
     bitmap, bits = _bitmap(windows, size["n"])
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("tkey"), words_of(text).alias("w"))
-    rows = rows.withColumn("n_words", F.size("w").cast("long"))  # before the explode, which then leaves the words behind
+    rows = rows.withColumn("n_words", F.size("w").cast("long")).withColumn("h", hashes_of(F.col("w")))  # before the explode, which then leaves the words behind
 
     def found(length: int) -> Column:
         """Places and hashes of the windows of ``length`` words that pass the bitmap."""
-        starts = F.when(F.size("w") >= length, F.sequence(F.lit(1), F.size("w") - (length - 1))).otherwise(F.array().cast("array<int>"))
-        each = F.transform(starts, lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("w", i, length)).alias("hash")))
+        # the hashes are named more than once here, which keeps the optimizer from working them out anew for every window
+        starts = F.when(F.size("h") >= length, F.sequence(F.lit(1), F.size("h") - (length - 1))).otherwise(F.array().cast("array<int>"))
+        each = F.transform(starts, lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("h", i, length)).alias("hash")))
         some = F.filter(each, lambda x: F.getbit(F.get(bitmap, _cell(x["hash"], bits)), _bit(x["hash"])) == 1)
         return F.transform(some, lambda x: F.struct(x["i"].alias("i"), x["hash"].alias("hash"), F.slice("w", x["i"], length).alias("own")))
 
