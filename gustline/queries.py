@@ -178,6 +178,11 @@ def _episodes(b):  # weekly rows: gaps of up to ten weekdays join
 add("flt03_named_windows", lambda spark, sf: typology.annotate(_episodes(base(spark, sf)), _named(spark)).withColumnRenamed("start", "start_d"), "select e.universe, e.start_ as start_d, arg_min(name, ord) as event from ep e left join nm on e.start_ <= nm.end_ and e.end_ >= nm.start_ group by 1, 2, e.end_", keys="universe,start_d,event", ctes=EPI + ", " + NAMED)
 add("flt04_membership", on_base(lambda b: b.join(typology.at_starts(b.select("universe", "d"), _episodes(b)), ["universe", "d"], "left_semi")), "select b.* from b where exists (select 1 from ep where ep.universe = b.universe and ep.start_ = b.d)", ints="pos", doubles="v", ctes=EPI)
 
+add("prj03_simple_returns", on_base(lambda b: b.select("universe", "d", S.to_simple(F.col("xa")).alias("simple"), S.to_log(S.to_simple(F.col("xa"))).alias("back"))), "select universe, d, exp(xa) - 1 as simple, xa as back from b", doubles="simple,back")
+add("flt01_any_value", on_base(lambda b: panel.complete(b.withColumn("hot", F.when(F.col("v") > 0.3, F.col("v"))).withColumn("up", F.when(F.col("xa") > 0, F.col("xa"))), ["hot", "up"], "all").groupBy("universe").agg(F.count("*").alias("n"))), "select universe, count(*) as n from b where v > 0.3 or xa > 0 group by 1", keys="universe", ints="n")
+QUERIES["src02_pruned_read"] = lambda spark, sf: io.read_any(spark, f"{sf}/lineitem.parquet", ["l_returnflag", "l_quantity"]).groupBy("l_returnflag").agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.count("*").alias("n"))
+ORACLES["src02_pruned_read"] = "select l_returnflag, cast(sum(cast(l_quantity as bigint)) as bigint) as quantity, count(*) as n from lineitem group by 1"
+
 # --- joins and sets -------------------------------------------------------------------------------------------------
 
 
@@ -548,6 +553,7 @@ def _scores(b):
 
 add("rb01_relevance", each_universe(lambda b, _: _scores(b)), None, keys="universe", ints="i", doubles="sim,inf")
 # a universe is predicted from all others, so that no row sees its own outcome
+add("rb03_softmax_predictions", each_universe(lambda b, others: relevance.predict(b.filter("xa is not null"), _train(others), "pos", None, 0.0, "exp")), None, keys="universe", ints="pos", doubles="prediction")
 add("rb04_predictions", each_universe(lambda b, others: relevance.predict(b.filter("xa is not null"), _train(others), "pos", None, 0.5)), None, keys="universe", ints="pos", doubles="prediction")
 
 
