@@ -127,11 +127,12 @@ def roc_auc(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p") -> D
 
 
 def average_precision(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Sum of precision times gain in recall over distinct scores from the top."""
+    """Sum of precision times gain in recall over distinct scores from the top; NaN without a positive row, where recall is 0 / 0."""
     at = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*keys, p).agg(F.sum(F.col(y)).alias("pos"), F.count("*").alias("n"))
     w = Window.partitionBy(*keys).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
     at = at.withColumn("tp", F.sum("pos").over(w)).withColumn("seen", F.sum("n").over(w))
-    return at.groupBy(*keys).agg((F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos")).alias("average_precision"))
+    whole = F.sum("pos")
+    return at.groupBy(*keys).agg(F.when(whole != 0, F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / whole).otherwise(float("nan")).alias("average_precision"))
 
 
 def probability_scores(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", eps: float = 1e-12) -> DataFrame:

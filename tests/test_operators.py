@@ -427,3 +427,9 @@ def test_blocks_joined_on_the_feature_matrix(spark):
     assert [r["et"] for r in features.event_block(m, ev, ["et"]).orderBy("pos").collect()] == [2.0 * i for i in range(5, 30)]
     with pytest.raises(ValueError):
         features.correction_label(F.lit(-0.1), 1.5)
+
+
+def test_average_precision_without_positives(spark):
+    rows = [("a", 0, 0.2), ("a", 0, 0.7), ("b", 1, 0.9), ("b", 0, 0.5), ("b", 1, 0.4), ("b", None, 0.8)]
+    got = {r["universe"]: r["average_precision"] for r in metrics.average_precision(spark.createDataFrame(rows, "universe string, y int, p double"), ["universe"]).collect()}
+    assert np.isnan(got["a"]) and np.isclose(got["b"], (1 + 2 / 3) / 2)
