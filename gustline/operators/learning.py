@@ -57,19 +57,21 @@ def probability(scored: DataFrame) -> DataFrame:
 
 def train_one(df: DataFrame, features: Sequence[str], name: str, folds: DataFrame | None, dev_end: str, seed: int = 0, trees: int = 400) -> dict:
     """Aligned rows, purged cross-validation on the development part (scaler inside each fold), a final fit and one
-    pass over later rows. Returns model, cv (fold, auc), oos (predictions)."""
+    pass over later rows. Returns model, cv (fold, auc), oos (predictions). On a development part of one class every model is
+    the constant one: that class for all rows, zero weights, no folds."""
     from gustline.operators.splits import dev_oos, in_folds
 
     rows = df.select("universe", "d", "pos", *features, F.col("y").cast("double").alias("y")).na.drop()
     dev, oos = dev_oos(rows, dev_end)
     dev = dev.cache()
     n, kinds = dev.count(), dev.select("y").distinct().count()
-    if kinds < 2:
+    if not n:
         dev.unpersist()
-        raise ValueError("the development part has one class")
-    make = registry(n, seed, trees)[name]
+        raise ValueError("the development part has no rows")
+    # of one class Spark's forest has no second probability and its machine a margin of its own; its logistic fit is the constant
+    make = registry(n, seed, trees)[name if kinds > 1 else "logistic_l1"]
     scores = []
-    if folds is not None:
+    if folds is not None and kinds > 1:
         parts = in_folds(dev, folds)
         for r in folds.select("fold").distinct().orderBy("fold").collect():
             train = balanced(parts.filter((F.col("fold") == r["fold"]) & (F.col("part") == "train")).drop("fold", "part"))

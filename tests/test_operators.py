@@ -433,3 +433,17 @@ def test_average_precision_without_positives(spark):
     rows = [("a", 0, 0.2), ("a", 0, 0.7), ("b", 1, 0.9), ("b", 0, 0.5), ("b", 1, 0.4), ("b", None, 0.8)]
     got = {r["universe"]: r["average_precision"] for r in metrics.average_precision(spark.createDataFrame(rows, "universe string, y int, p double"), ["universe"]).collect()}
     assert np.isnan(got["a"]) and np.isclose(got["b"], (1 + 2 / 3) / 2)
+
+
+@pytest.mark.parametrize("label", [0, 1])
+@pytest.mark.parametrize("name", ["random_forest", "linear_svm"])
+def test_training_on_one_class(spark, name, label):
+    df, _ = frame(spark, 120)
+    df = df.withColumn("y", F.when(F.col("pos") < 80, label).otherwise(F.col("pos") % 2))
+    end = str(days(80)[-1])
+    folds = spark.createDataFrame([("u", 1, 20, 40, 60)], "universe string, fold int, train_hi int, test_lo int, test_hi int")
+    got = learning.train_one(df, ["f0", "f1"], name, folds, end, trees=5)
+    out = got["oos"].orderBy("pos").toPandas()
+    assert list(out["pos"]) == list(range(80, 120)) and (out["p"] == label).all()
+    with pytest.raises(ValueError):
+        learning.train_one(df, ["f0", "f1"], name, None, "1999-12-31")
