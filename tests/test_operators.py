@@ -436,7 +436,7 @@ def test_average_precision_without_positives(spark):
 
 
 @pytest.mark.parametrize("label", [0, 1])
-@pytest.mark.parametrize("name", ["random_forest", "linear_svm"])
+@pytest.mark.parametrize("name", ["logistic_l1", "random_forest", "linear_svm"])
 def test_training_on_one_class(spark, name, label):
     df, _ = frame(spark, 120)
     df = df.withColumn("y", F.when(F.col("pos") < 80, label).otherwise(F.col("pos") % 2))
@@ -444,6 +444,6 @@ def test_training_on_one_class(spark, name, label):
     folds = spark.createDataFrame([("u", 1, 20, 40, 60)], "universe string, fold int, train_hi int, test_lo int, test_hi int")
     got = learning.train_one(df, ["f0", "f1"], name, folds, end, trees=5)
     out = got["oos"].orderBy("pos").toPandas()
-    assert list(out["pos"]) == list(range(80, 120)) and (out["p"] == label).all()
+    assert list(out["pos"]) == list(range(80, 120)) and (out["p"] == label).all() and got["cv"] is None
     with pytest.raises(ValueError):
         learning.train_one(df, ["f0", "f1"], name, None, "1999-12-31")
