@@ -445,5 +445,6 @@ def test_training_on_one_class(spark, name, label):
     got = learning.train_one(df, ["f0", "f1"], name, folds, end, trees=5)
     out = got["oos"].orderBy("pos").toPandas()
     assert list(out["pos"]) == list(range(80, 120)) and (out["p"] == label).all() and got["cv"] is None
+    assert [(r["feature"], r["weight"]) for r in learning.coefficients(got["model"], ["f0", "f1"]).collect()] == [("f0", 0.0), ("f1", 0.0)]
     with pytest.raises(ValueError):
         learning.train_one(df, ["f0", "f1"], name, None, "1999-12-31")
