@@ -62,11 +62,11 @@ def events(df: DataFrame, value: str, threshold: float) -> DataFrame:
             {
                 "universe": pdf["universe"].iloc[0] if len(pdf) else None,
                 "event_id": np.arange(len(s), dtype=np.int32),
-                "start_date": d[s] if len(s) else [],
-                "end_date": d[e] if len(s) else [],
-                "calendar_days_in_event": [(b - a).days for a, b in zip(d[s], d[e])] if len(s) else [],
+                "start_date": d[s],  # without an event still dates: an empty list would be doubles to Arrow
+                "end_date": d[e],
+                "calendar_days_in_event": np.array([(b - a).days for a, b in zip(d[s], d[e])], np.int32),
                 "trading_days_in_event": (e - s + 1).astype(np.int32),
-                "cumulative_intensity": [float(v[a : b + 1].sum()) for a, b in zip(s, e)],
+                "cumulative_intensity": np.array([v[a : b + 1].sum() for a, b in zip(s, e)], float),
             }
         )
 

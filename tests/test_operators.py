@@ -448,3 +448,11 @@ def test_training_on_one_class(spark, name, label):
     assert [(r["feature"], r["weight"]) for r in learning.coefficients(got["model"], ["f0", "f1"]).collect()] == [("f0", 0.0), ("f1", 0.0)]
     with pytest.raises(ValueError):
         learning.train_one(df, ["f0", "f1"], name, None, "1999-12-31")
+
+
+def test_events_where_none_closes(spark):
+    quiet, busy = series(spark, [0.1, None, 0.1]), series(spark, [2, 2]).withColumn("universe", F.lit("b"))
+    assert eventclock.events(quiet, "v", 3).collect() == []
+    assert eventclock.events(series(spark, [None, None]), "v", 3).collect() == []
+    got = eventclock.events(quiet.unionByName(busy), "v", 3).collect()
+    assert [(r["universe"], r["start_date"], r["end_date"], r["trading_days_in_event"], r["cumulative_intensity"]) for r in got] == [("b", days(2)[0], days(2)[1], 2, 4.0)]
