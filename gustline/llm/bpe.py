@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gustline.llm.shared import lean
+
 #: Entries of a worker's cache of chunks and words, which is emptied when full, and the longest chunk it takes. Results of
 #: the pair-compatibility table that a worker remembers; others are worked out again. Both bound memory only.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 CACHE_LETTERS = 48
-CACHE_PAIRS = 2_000_000
+CACHE_PAIRS = 200_000
 
 
 _CONTROLS = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
@@ -271,7 +273,7 @@ def bpe_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_text, pa.string())], schema=schema)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,7 +284,7 @@ def bpe_encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bpe.encode(x.as_py()) for x in batch.column("text")], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -293,4 +295,4 @@ def bpe_decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bpe.decode(x.as_py() or []) for x in batch.column("ids")], pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids")).mapInArrow(lean(run), "doc_id long, text string")

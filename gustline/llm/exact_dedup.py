@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gustline.llm.shared import ascii_lower
+from gustline.llm.shared import ascii_lower, lean
 
 #: Sampled rows a range, and characters of all splitters together.
 SAMPLE_A_RANGE, MOST_CHARS = 32, 16_000_000
@@ -70,7 +70,7 @@ def splitters(rows: DataFrame, ranges: int, keep: str, seed: int = 11) -> list[t
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.string(), pa.bool_(), pa.int64()))], ["t", "whole", "doc_id"])
 
-    got = [(r["t"], _rank(r["doc_id"], keep) if r["whole"] else _BEFORE_ALL) for r in one.mapInArrow(cut, "t string, whole boolean, doc_id long").collect()]
+    got = [(r["t"], _rank(r["doc_id"], keep) if r["whole"] else _BEFORE_ALL) for r in one.mapInArrow(lean(cut), "t string, whole boolean, doc_id long").collect()]
     got = sorted(set(got))
     while sum(len(t) for t, _ in got) > MOST_CHARS:
         got.remove(max(got, key=lambda s: len(s[0])))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gustline.llm.components import connected_components
-from gustline.llm.shared import stash, unstash
+from gustline.llm.shared import lean, stash, unstash
 
 PERMUTATIONS, BANDS, B, SLACK = 128, 32, 2, 0.3
 #: Rounds with random pivots, pivots a bucket, and open pairs a member from which such a round is worth while.
@@ -145,7 +145,7 @@ def _signatures(rows: DataFrame, words: int) -> DataFrame:
                 ["doc_id", "n", "digest", "bits", "bands"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, bits array<long>, bands array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, n long, digest binary, bits array<long>, bands array<long>")
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -156,7 +156,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
                 some = [shingle_set(t.as_py(), words).tobytes() for t in texts[at : at + 200]]
                 yield pa.RecordBatch.from_arrays([ids[at : at + 200], pa.array(some, pa.binary())], ["id", "s"])
 
-    return rows.mapInArrow(run, "id long, s binary")
+    return rows.mapInArrow(lean(run), "id long, s binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -175,7 +175,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
                 keep.append(den * same >= num * (len(z) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +241,7 @@ def _fine(sets: DataFrame) -> DataFrame:
             bits = [pack(minima(np.frombuffer(x.as_buffer(), np.uint64), FINE_PERMUTATIONS)) for x in batch.column("s")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bits, pa.list_(pa.int64()))], ["id", "bits"])
 
-    return sets.mapInArrow(run, "id long, bits array<long>")
+    return sets.mapInArrow(lean(run), "id long, bits array<long>")
 
 
 def _open_pairs(opened: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:

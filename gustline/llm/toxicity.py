@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.shared import stash, unstash
+from gustline.llm.shared import lean, stash, unstash
 
 #: Labelled rows that the fit reads.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 4500
@@ -317,7 +317,7 @@ def _stem_counts(rows: DataFrame) -> DataFrame:
                 ["stem", "n1", "n0", "seen"],
             )
 
-    parts = rows.select("y", "text").mapInArrow(run, "stem string, n1 long, n0 long, seen array<long>")
+    parts = rows.select("y", "text").mapInArrow(lean(run), "stem string, n1 long, n0 long, seen array<long>")
     return parts.groupBy("stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("contexts"))
 
 
@@ -405,7 +405,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("chars"), pa.array(counts, pa.list_(pa.int32()))], ["y", "chars", "counts"])
 
     # no more rows than the sample has
-    got = rows.select("y", F.length("text").cast("long").alias("chars"), "text").mapInArrow(run, "y int, chars long, counts array<int>").collect()
+    got = rows.select("y", F.length("text").cast("long").alias("chars"), "text").mapInArrow(lean(run), "y int, chars long, counts array<int>").collect()
     unstash(rows)
     got.sort(key=lambda r: (r["y"], r["chars"], r["counts"]))
     y = np.array([r["y"] for r in got], float)
@@ -441,7 +441,7 @@ def matched_clauses(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "start", "end", "score", "matches"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, end long, score double, matches array<string>")
+    return rows.mapInArrow(lean(run), "doc_id long, start long, end long, score double, matches array<string>")
 
 
 def predict(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -460,4 +460,4 @@ def drop_toxic(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataF
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return packed.mapInArrow(run, packed.schema).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return packed.mapInArrow(lean(run), packed.schema).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

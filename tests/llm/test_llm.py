@@ -777,3 +777,30 @@ def test_pipeline_stages_on_edges(spark, sf, rows):
         counts.append((name, out.count()))
     # toxicity, contamination and encoding touch nothing here; "One" and "one" are near copies, and 5 is there twice
     assert [c for _, c in counts] == [len(rows), len({lowered(t) for _, t in rows}), len(rows) - 2 * bool(rows), len(rows), len(rows)]
+
+
+def test_bpe_worker_keeps_little():
+    """The caches of a worker stay bounded, with the same ids, and what a task leaves unused goes back to the system."""
+    import pyarrow
+
+    from gustline.llm import shared
+    from gustline.llm.queries import bpe_path
+
+    encoder = bpe.BacktrackingBpe(bpe_path())
+    words = [f"q{i:x}z" for i in range(120_000)]
+    first = encoder.encode(" ".join(words[:50]))
+    encoder.encode(" ".join(words))
+    assert len(encoder._cache) <= 100_000 and len(encoder._compatible) <= 200_000
+    assert encoder.encode(" ".join(words[:50])) == first
+
+    def anon():
+        return next(int(x.split()[1]) // 1024 for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon:"))
+
+    def run(batches):
+        for batch in batches:
+            large = [f"{i:x}" * 40 for i in range(400_000)]
+            yield pyarrow.RecordBatch.from_arrays([pyarrow.array([len(pyarrow.array(large))])], ["n"])
+
+    before = anon()
+    assert [b.to_pylist() for b in shared.lean(run)(iter([None]))] == [[{"n": 400_000}]]
+    assert anon() < before + 40
