@@ -3,60 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gustline.sources.io import shared_root, stash, unstash  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-_own_root: str | None = None
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode; on a cluster that
-    would be another disk on every machine, so it is an error there."""
-    global _own_root
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    if _own_root is None:
-        _own_root = "file://" + tempfile.mkdtemp(prefix="gustline-")
-    return _own_root
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor
-    costs nothing that was computed before. The table goes with :func:`unstash`, and else when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at, fs = _at(spark, path)
-    fs.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def _at(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def unstash(df: DataFrame) -> None:
-    """Delete a table written by :func:`stash` that no returned DataFrame reads."""
-    path = getattr(df, "_stash_path", None)
-    if path:
-        at, fs = _at(df.sparkSession, path)
-        fs.cancelDeleteOnExit(at)
-        fs.delete(at, True)
-
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, after which Arrow and the C library give unused memory back to the system. Spark reuses its Python workers,

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustline.operators import metrics
+from gustline.sources.io import stash, unstash
 
 # --- Spark ML models ------------------------------------------------------------------------------------------------
 
@@ -61,28 +62,28 @@ def train_one(df: DataFrame, features: Sequence[str], name: str, folds: DataFram
     the constant one: that class for all rows, zero weights, no folds."""
     from gustline.operators.splits import dev_oos, in_folds
 
-    rows = df.select("universe", "d", "pos", *features, F.col("y").cast("double").alias("y")).na.drop()
+    # every action of every fit plans its input anew: on a written table that is a scan, on ``df`` itself all that made it
+    rows = stash(df.select("universe", "d", "pos", *features, F.col("y").cast("double").alias("y")).na.drop())
     dev, oos = dev_oos(rows, dev_end)
-    dev = dev.cache()
-    n, kinds = dev.count(), dev.select("y").distinct().count()
+    n, kinds = dev.agg(F.count("*"), F.countDistinct("y")).first()
     if not n:
-        dev.unpersist()
+        unstash(rows)
         raise ValueError("the development part has no rows")
     # of one class Spark's forest has no second probability and its machine a margin of its own; its logistic fit is the constant
     make = registry(n, seed, trees)[name if kinds > 1 else "logistic_l1"]
     scores = []
     if folds is not None and kinds > 1:
+        folds = stash(folds)
         parts = in_folds(dev, folds)
         for r in folds.select("fold").distinct().orderBy("fold").collect():
-            train = balanced(parts.filter((F.col("fold") == r["fold"]) & (F.col("part") == "train")).drop("fold", "part"))
+            train = parts.filter((F.col("fold") == r["fold"]) & (F.col("part") == "train")).drop("fold", "part")
             test = parts.filter((F.col("fold") == r["fold"]) & (F.col("part") == "test")).drop("fold", "part")
             if train.select("y").distinct().count() < 2:
                 continue
-            scored = probability(pipeline(features, make()).fit(train).transform(test))
+            scored = probability(pipeline(features, make()).fit(balanced(train)).transform(test))
             scores.append(metrics.roc_auc(scored, []).withColumn("fold", F.lit(r["fold"])))
     model = pipeline(features, make()).fit(balanced(dev))
     out = probability(model.transform(oos)).select("universe", "d", "pos", "y", "p")
-    dev.unpersist()  # all fits are done; what is still lazy reads its rows anew
     cv = None
     for s in scores:
         cv = s if cv is None else cv.unionByName(s)

@@ -456,3 +456,23 @@ def test_events_where_none_closes(spark):
     assert eventclock.events(series(spark, [None, None]), "v", 3).collect() == []
     got = eventclock.events(quiet.unionByName(busy), "v", 3).collect()
     assert [(r["universe"], r["start_date"], r["end_date"], r["trading_days_in_event"], r["cumulative_intensity"]) for r in got] == [("b", days(2)[0], days(2)[1], 2, 4.0)]
+
+
+def test_training_computes_its_input_once(spark):
+    """However many fits and scores read them, rows and folds are made once."""
+    df, _ = frame(spark, 120)
+    df = df.withColumn("y", F.col("pos") % 2)
+    folds = spark.createDataFrame([("u", 1, 20, 40, 60), ("u", 2, 40, 60, 80)], "universe string, fold int, train_hi int, test_lo int, test_hi int")
+    made = {n: spark.sparkContext.accumulator(0) for n in ("rows", "folds")}
+
+    def counted(table, name):
+        def count(batches):
+            for pdf in batches:
+                made[name].add(len(pdf))
+                yield pdf
+
+        return table.mapInPandas(count, table.schema)
+
+    got = learning.train_one(counted(df, "rows"), ["f0", "f1"], "logistic_l1", counted(folds, "folds"), str(days(80)[-1]))
+    assert got["cv"].count() == 2 and got["oos"].count() == 40
+    assert {n: a.value for n, a in made.items()} == {"rows": 120, "folds": 2}
